@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op3_bpe_trie": "op03_bpe",
     "op5_packing": "op05_packing",
+    "op9_crf_toxicity": "op09_toxicity",
 }
 _LOADED = {name: importlib.import_module(f".{module}", __package__) for name, module in _MODULES.items()}
 
