@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op2_risk_controlled_quality": "op02_quality",
     "op3_bpe_trie": "op03_bpe",
     "op5_packing": "op05_packing",
     "op9_crf_toxicity": "op09_toxicity",
