@@ -9,6 +9,7 @@ _MODULES = {
     "op3_bpe_trie": "op03_bpe",
     "op5_packing": "op05_packing",
     "op9_crf_toxicity": "op09_toxicity",
+    "op10_debruijn": "op10_debruijn",
 }
 _LOADED = {name: importlib.import_module(f".{module}", __package__) for name, module in _MODULES.items()}
 
