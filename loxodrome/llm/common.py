@@ -55,11 +55,14 @@ def fan_out(df: DataFrame, parts: int | None = None) -> int:
     return parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[dict[str, list]]:
-    """Columns as Python lists, a bounded number of text characters at a time."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iterator[dict[str, list]]:
+    """Columns as Python lists, a bounded number of text characters at a time; whole batches where there is no text."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        if text is None:
+            yield batch.to_pydict()
+            continue
         start, room = 0, SLICE_CHARS
         lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
         for i, n in enumerate(lengths):

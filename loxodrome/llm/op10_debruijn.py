@@ -140,7 +140,7 @@ def debruijn_dedup(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     empty texts, and texts shorter than a window, keep all their words. Repeated rows are occurrences of their own (so they remove
     each other's passages); an empty table gives no rows; other columns are not read.
     """
-    docs = keyed(docs)
+    docs = keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(docs, k, window).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def run(batches):

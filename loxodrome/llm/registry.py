@@ -8,6 +8,8 @@ _MODULES = {
     "op2_risk_controlled_quality": "op02_quality",
     "op3_bpe_trie": "op03_bpe",
     "op5_packing": "op05_packing",
+    "op6_line_windows": "op06_lines",
+    "op8_sparse_suffix_array": "op08_suffix",
     "op9_crf_toxicity": "op09_toxicity",
     "op10_debruijn": "op10_debruijn",
 }

@@ -111,11 +111,32 @@ class Minimisers:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `rid`, a key of the row: doc_id where it is a key, else the row's number in a written copy."""
+    """`docs` with `rid`, a key of the row: doc_id where it is a key, else the row's number in a written copy."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
-        return written(docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()))
-    return docs.select("doc_id", "text", F.col("doc_id").alias("rid"))
+        return written(docs.withColumn("rid", F.monotonically_increasing_id()))
+    return docs.withColumn("rid", F.col("doc_id"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in the struct `row`, so that no name of theirs clashes."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).alias("none")]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("row"))
+
+
+def unpacked(rows: DataFrame, like: DataFrame, text, changed) -> DataFrame:
+    """The columns of `like` with a new text, and n_chars to match where `changed`."""
+    out = []
+    for c in like.columns:
+        if c == "doc_id":
+            out.append(F.col("doc_id"))
+        elif c == "text":
+            out.append(text.alias("text"))
+        elif c == "n_chars":
+            out.append(F.when(changed, F.length(text)).otherwise(F.col("row.n_chars")).cast(like.schema["n_chars"].dataType).alias("n_chars"))
+        else:
+            out.append(F.col(f"row.`{c}`").alias(c))
+    return rows.select(*out)
 
 
 def repeated_positions(found: DataFrame) -> DataFrame:
