@@ -8,7 +8,8 @@ them by conditional likelihood; forward-backward marginals are aggregated to a d
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ from .common import in_fold, slices, table
 
 ORACLE_SQL = None
 #: Bounds of the sample of labelled rows that the model is trained on, by class.
-TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
+TRAIN_TOXIC, TRAIN_CLEAN = 1500, 2500
 #: Documents with a feature, and how many times as frequent it is in toxic ones, for a word with it to be labelled.
 LEAST_DOCS, LEAST_ODDS = 4, 12.0
-EPOCHS, RATE, RIDGE = 40, 0.3, 1e-4
+EPOCHS, RATE, RIDGE = 25, 0.3, 1e-4
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -104,47 +105,42 @@ def gathered(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], labels: list[int]) -> dict:
     """Weights of the chain and of the document model from labelled texts."""
-    docs = [WORD.findall(t or "") for t in texts]
     y = np.array(labels, float)
     n_toxic, n_clean = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    seen = (Counter(), Counter())
-    cache: dict[str, tuple[str, ...]] = {}
-    for words, label in zip(docs, labels, strict=True):
-        own: set[str] = set()
-        for w in set(words):
-            own.update(cache.setdefault(w, features_of(w)))
-        seen[label].update(own)
-    odds = {f: (c / n_toxic) / ((seen[0][f] + 0.5) / n_clean) for f, c in seen[1].items() if c >= LEAST_DOCS}
-    strong = {f for f, o in odds.items() if o >= LEAST_ODDS}
-    known = {f: i for i, f in enumerate(sorted(f for f in seen[1].keys() | seen[0].keys() if seen[0][f] + seen[1][f] >= LEAST_DOCS))}
-
-    lengths = np.array([len(d) for d in docs])
-    ids, rows, gold, at = [], [], np.zeros(int(lengths.sum())), 0
-    by_word: dict[str, list[int]] = {}
-    for words, label in zip(docs, labels, strict=True):
-        for w in words:
-            found = by_word.get(w)
-            if found is None:
-                found = by_word[w] = [known[f] for f in cache[w] if f in known]
-            ids.extend(found)
-            rows.extend([at] * len(found))
-            gold[at] = label and any(f in strong for f in cache[w])
-            at += 1
-    ids, rows = np.array(ids, np.int64), np.array(rows, np.int64)
-    weights, bias, trans = np.zeros(len(known)), -3.0, np.zeros((2, 2))
-    g_w, g_b, g_t = np.full(len(known), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    number: dict[str, int] = {}  # of each distinct word; all per-word work is done once
+    tokens, lengths = array("i"), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        own = [number.setdefault(w, len(number)) for w in WORD.findall(text or "")]
+        tokens.extend(own)
+        lengths[i] = len(own)
+    words = np.frombuffer(tokens, np.int32) if tokens else np.zeros(0, np.int32)
     ends = np.cumsum(lengths)
+    names: dict[str, int] = {}
+    of_word = [[names.setdefault(f, len(names)) for f in features_of(w)] for w in number]
+    seen = np.zeros((2, len(names)))
+    for i, label in enumerate(labels):
+        seen[label, list({f for w in set(words[ends[i] - lengths[i] : ends[i]].tolist()) for f in of_word[w]})] += 1
+    strong = (seen[1] >= LEAST_DOCS) & (seen[1] / n_toxic >= LEAST_ODDS * (seen[0] + 0.5) / n_clean)
+    known = seen.sum(0) >= LEAST_DOCS
+    row = np.repeat(np.arange(len(number)), [len(x) for x in of_word])
+    feature = np.array([f for x in of_word for f in x], np.int64)
+    row, feature = row[known[feature]], feature[known[feature]]
+    is_toxic = np.zeros(len(number), bool)
+    is_toxic[row[strong[feature]]] = True
+    gold = (is_toxic[words] & np.repeat(y > 0, lengths)).astype(float)
+    weights, bias, trans = np.zeros(len(names)), -3.0, np.zeros((2, 2))
+    g_w, g_b, g_t = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     g = gold.astype(int)
     inner = np.ones(len(gold), bool)
     inner[(ends - lengths)[lengths > 0]] = False
     target = np.zeros((2, 2))
     if len(gold) > 1:
         np.add.at(target, (g[:-1][inner[1:]], g[1:][inner[1:]]), 1)
-    for _ in range(EPOCHS if len(known) and gold.any() else 0):
-        scores = bias + np.bincount(rows, weights[ids], len(gold))
+    for _ in range(EPOCHS if gold.any() else 0):
+        scores = bias + np.bincount(row, weights[feature], len(number))[words]
         marginal, expected, _ = chain(scores, lengths, trans)
         miss = gold - marginal
-        d_w = np.bincount(ids, miss[rows], len(known)) - RIDGE * len(gold) * weights * 1e-2
+        d_w = np.bincount(feature, np.bincount(words, miss, len(number))[row], len(names)) - RIDGE * len(gold) * weights * 1e-2
         d_b, d_t = miss.sum(), target - expected
         g_w += d_w**2
         g_b += d_b**2
@@ -152,14 +148,14 @@ def train(texts: list[str], labels: list[int]) -> dict:
         weights += RATE * d_w / np.sqrt(g_w)
         bias += RATE * d_b / np.sqrt(g_b)
         trans += RATE * d_t / np.sqrt(g_t)
-    scores = bias + np.bincount(rows, weights[ids], len(gold)) if len(gold) else np.zeros(0)
+    scores = bias + np.bincount(row, weights[feature], len(number))[words] if len(words) else np.zeros(0)
     x = gathered(chain(scores, lengths, trans)[0], lengths)
     coef = np.array([-2.0, 0.5, 0.0, 0.0])
     for _ in range(30 if y.any() and not y.all() else 0):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(4)
         coef += np.linalg.solve(h, x.T @ (y - p) - coef)
-    kept = {f: float(weights[i]) for f, i in known.items() if abs(weights[i]) > 1e-3}
+    kept = {f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}
     return {"weights": kept, "bias": float(bias), "trans": trans, "coef": coef}
 
 
