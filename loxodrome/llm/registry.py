@@ -7,6 +7,7 @@ import importlib
 _MODULES = {
     "op2_risk_controlled_quality": "op02_quality",
     "op3_bpe_trie": "op03_bpe",
+    "op4_minhash_forest": "op04_jaccard",
     "op5_packing": "op05_packing",
     "op6_line_windows": "op06_lines",
     "op8_sparse_suffix_array": "op08_suffix",
