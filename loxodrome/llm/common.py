@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,12 +43,24 @@ def scratch_root(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared scratch folder and read it back.
 
-    Cuts the lineage and survives lost executors; the files go with the checkpoint folder.
+    Cuts the lineage and survives lost executors; the files go with the checkpoint folder, or earlier by discard(). The shuffle
+    files that only the write needed are released at once: Spark does that when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table_: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = table_.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.scratch_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fan_out(df: DataFrame, parts: int | None = None) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, table, written
-from .spans import confirmed, keyed, packed, unpacked
+from .spans import confirmed_in_order, keyed, packed, unpacked
 
 LINES = 3
 
@@ -37,7 +37,7 @@ def _later(rows: DataFrame) -> DataFrame:
     shifted = [F.slice("h", 1 + i, F.greatest(n - LINES + 1, F.lit(0))).alias(f"l{i}") for i in range(LINES)]
     each = hashed.where(n >= LINES).select("rid", F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
     windows = each.select("rid", F.col("at").cast("bigint").alias("at"), *[F.xxhash64(*[F.col(f"w.l{i}.{c}") for i in range(LINES)]).alias(h) for h, c in (("h1", "a"), ("h2", "b"))], F.lit(1).alias("weight"))
-    return confirmed(written(windows)).where("NOT is_first").groupBy("rid").agg(F.collect_set("at").alias("later"))
+    return confirmed_in_order(written(windows)).where("NOT is_first").groupBy("rid").agg(F.collect_set("at").alias("later"))
 
 
 def kept_lines(text: str, later) -> tuple[str, int]:

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fan_out, slices, table, written
-from .spans import Minimisers, confirmed, keyed, merged, packed, repeated_positions, unpacked
+from .common import discard, fan_out, slices, table, written
+from .spans import Minimisers, confirmed_in_order, keyed, merged, packed, repeated_positions, unpacked
 
 K, WINDOW = 8, 50
 #: Words that one letter of a suffix stands for when suffixes are sorted, and letters in the sort key.
@@ -115,7 +115,8 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     suffixes = _with_windows(docs.select("rid", "text").join(ps, "rid").select("rid", "text", "ps"), k, window)
     ordered = suffixes.repartitionByRange(fan_out(docs), "key", "rid", "p").sortWithinPartitions("key", "rid", "p")
     windows = written(_compared(ordered, window))
-    counted = confirmed(windows.where("weight > 0"))
+    discard(found)
+    counted = confirmed_in_order(windows.where("weight > 0"))
     later = windows.where("weight = 0").select("rid", "at", F.lit(False).alias("is_first"))
     return counted.unionByName(later).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"), "is_first")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, table, words_of, written
+from .common import discard, slices, table, words_of, written
 from .spans import Minimisers, confirmed, keyed, merged, mixed, repeated_positions
 
 K, WINDOW = 12, 35
@@ -62,7 +62,7 @@ def _occurrences(docs: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def _compacted(kept: DataFrame) -> DataFrame:
-    """Repeated edges (eh, first occurrence, whether it compacts with the edge after it)."""
+    """Repeated edges (eh, first occurrence, occurrences, whether it compacts with the edge after it)."""
     edges = kept.where("eh IS NOT NULL")
     out = edges.groupBy("eh").agg(F.count("*").alias("n"), F.min("next_eh").alias("n0"), F.max("next_eh").alias("n1"), F.count("next_eh").alias("n_next"), F.min(F.struct("rid", "p")).alias("first")).where("n > 1")
     back = edges.where("next_eh IS NOT NULL").groupBy(F.col("next_eh").alias("eh")).agg(F.min("eh").alias("p0"), F.max("eh").alias("p1"), F.count("*").alias("n_prev"))
@@ -70,7 +70,7 @@ def _compacted(kept: DataFrame) -> DataFrame:
     ahead = stats.where("n0 = n1 AND n_next = n").select("eh", F.col("n0").alias("after"))
     behind = stats.where("p0 = p1 AND n_prev = n").select(F.col("eh").alias("after"), F.col("p0").alias("before"))
     links = ahead.join(behind, "after").where("before = eh").select("eh", F.lit(True).alias("linked"))
-    return stats.select("eh", "first").join(links, "eh", "left").select("eh", "first", F.coalesce("linked", F.lit(False)).alias("linked"))
+    return stats.select("eh", "first", "n").join(links, "eh", "left").select("eh", "first", "n", F.coalesce("linked", F.lit(False)).alias("linked"))
 
 
 def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -80,16 +80,18 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     ahead = Window.partitionBy("rid").orderBy("p")
     follows = F.lead("p").over(ahead) == F.col("q")
     kept = kept.withColumn("next_eh", F.when(follows, F.lead("eh").over(ahead))).withColumn("eh", F.when(follows, F.col("eh")))
-    kept = written(kept.select("rid", "p", "q", "eh", "next_eh"))
+    kept = written(kept.select("rid", "p", "q", "eh", "next_eh", "nodes"))
+    discard(found)
     edges = _compacted(kept)
-    state = F.when(F.col("first").isNull(), 0).otherwise(1 + 2 * F.col("linked").cast("int") + 4 * ((F.col("first.rid") == F.col("rid")) & (F.col("first.p") == F.col("p"))).cast("int"))
+    # 1: a repeated edge, 2: it compacts with the next, 4: its first occurrence, 8: its start owns windows elsewhere, too
+    state = F.when(F.col("first").isNull(), 0).otherwise(1 + 2 * F.col("linked").cast("int") + 4 * ((F.col("first.rid") == F.col("rid")) & (F.col("first.p") == F.col("p"))).cast("int") + 8 * (F.col("nodes") > F.col("n")).cast("int"))
     per_doc = kept.join(edges, "eh", "left").select("rid", "p", "q", state.alias("state")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "q", "state"))).alias("owners"))
 
     def run(batches):
         for part in slices(batches):
             m = Minimisers(part["text"], k, window)
             h1 = m.rolling.stretch(m.window_at, m.window_at + window)
-            owned = np.zeros(len(m.hashes) + 1, bool)
+            owned, closed = np.zeros(len(m.hashes) + 1, bool), np.zeros(len(m.hashes) + 1, bool)
             known = np.zeros(len(m.hashes) + 1, np.int8)  # windows inside a path: 1, at the path's first occurrence 2
             paths: list[tuple[int, int, int]] = []
             for i, (start, owners) in enumerate(zip(m.starts.tolist(), part["owners"], strict=True)):
@@ -100,7 +102,7 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
                     if not o["state"] & 1:
                         at += 1
                         continue
-                    a, first, end = o["p"], bool(o["state"] & 4), o["q"]
+                    a, first, end, count = o["p"], bool(o["state"] & 4), o["q"], at
                     while o["state"] & 2 and at + 1 < len(owners) and owners[at + 1]["p"] == o["q"] and owners[at + 1]["state"] & 1:
                         at += 1
                         o = owners[at]
@@ -110,27 +112,30 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
                     if b - a >= window:
                         paths.append((i, a, b))
                         known[start + a : start + b - window + 1] = np.maximum(known[start + a : start + b - window + 1], 2 if first else 1)
-            take = owned[m.owner] & (known[m.window_at] != 1)
+                        # an owner that is nowhere but on this path owns no window elsewhere; its windows needn't be counted
+                        closed[[start + x["p"] for x in owners[count:at] if not x["state"] & 8]] = True
+            take = owned[m.owner] & (known[m.window_at] != 1) & ~((known[m.window_at] == 2) & closed[m.owner])
             at = m.window_at[take]
             weight = np.where(known[at] == 2, 2, 1)
             rid = np.array(part["rid"], np.int64)
             doc = m.doc[at]
             h2 = mixed(h1[take] + m.hashes[at] * np.uint64(3) + m.hashes[at + window - 1] * np.uint64(5) + m.hashes[at + window // 2])
-            n = len(paths)
+            spans = np.array(paths, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h1": pa.array(np.concatenate([h1[take].view(np.int64), np.zeros(n, np.int64)])),
-                    "h2": pa.array(np.concatenate([h2.view(np.int64), np.zeros(n, np.int64)])),
-                    "rid": pa.array(np.concatenate([rid[doc], rid[[p[0] for p in paths]] if n else np.zeros(0, np.int64)])),
-                    "at": pa.array(np.concatenate([at - m.starts[doc], np.array([p[1] for p in paths], np.int64)])),
-                    "until": pa.array(np.concatenate([at - m.starts[doc] + window, np.array([p[2] for p in paths], np.int64)])),
-                    "weight": pa.array(np.concatenate([weight, np.zeros(n, np.int64)])),
+                    "h1": pa.array(np.r_[h1[take].view(np.int64), np.zeros(len(spans), np.int64)]),
+                    "h2": pa.array(np.r_[(h2 >> np.uint64(33)).astype(np.int32), np.zeros(len(spans), np.int32)]),
+                    "rid": pa.array(np.r_[rid[doc], rid[spans[:, 0]]]),
+                    "at": pa.array(np.r_[at - m.starts[doc], spans[:, 1]].astype(np.int32)),
+                    "weight": pa.array(np.r_[weight, spans[:, 1] - spans[:, 2]].astype(np.int32)),
                 }
             )
 
-    windows = written(docs.select("rid", "text").join(per_doc, "rid").mapInArrow(run, "h1 bigint, h2 bigint, rid bigint, at bigint, until bigint, weight bigint"))
+    # a weight below 0 is the length of a path, of words known to repeat
+    windows = written(docs.select("rid", "text").join(per_doc, "rid").mapInArrow(run, "h1 bigint, h2 int, rid bigint, at int, weight int"))
+    discard(kept)
     counted = confirmed(windows.where("weight > 0")).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return counted.unionByName(windows.where("weight = 0").select("rid", F.col("at").alias("a"), F.col("until").alias("b")))
+    return counted.unionByName(windows.where("weight < 0").select("rid", F.col("at").alias("a"), (F.col("at") - F.col("weight")).alias("b")))
 
 
 def debruijn_dedup(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:

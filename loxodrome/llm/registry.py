@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_imatch": "op01_imatch",
     "op2_risk_controlled_quality": "op02_quality",
     "op3_bpe_trie": "op03_bpe",
     "op4_minhash_forest": "op04_jaccard",

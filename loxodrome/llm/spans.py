@@ -140,20 +140,27 @@ def unpacked(rows: DataFrame, like: DataFrame, text, changed) -> DataFrame:
 
 
 def repeated_positions(found: DataFrame) -> DataFrame:
-    """Rows of `found` whose k-mer `nh` occurs more than once. Counts are combined before the shuffle; a k-mer that a third of all rows share makes a skewed join, which is split at run time."""
-    repeated = found.groupBy("nh").agg(F.count("*").alias("n")).where("n > 1").select("nh")
+    """Rows of `found` whose k-mer `nh` occurs more than once, with its count `nodes`.
+
+    Counts are combined before the shuffle; a k-mer that a third of all rows share makes a skewed join, split at run time.
+    """
+    repeated = found.groupBy("nh").agg(F.count("*").alias("nodes")).where("nodes > 1")
     return found.join(repeated, "nh")
 
 
 def confirmed(windows: DataFrame) -> DataFrame:
-    """From rows (h1, h2, rid, at, weight): the rows (rid, at, is_first) of windows with a joint weight over 1.
+    """From rows (h1, h2, rid, at, weight): the rows (rid, at) of windows with a joint weight over 1.
 
     A row stands for `weight` occurrences. `windows` has to be a written table, as it is read twice.
     """
-    keys = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.min(F.struct("rid", "at")).alias("first")).where("w > 1")
-    rows = windows.join(keys, ["h1", "h2"])
-    first = (F.col("first.rid") == F.col("rid")) & (F.col("first.at") == F.col("at"))
-    return rows.select("rid", "at", first.alias("is_first"))
+    keys = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
+    return windows.join(keys, ["h1", "h2"]).select("rid", "at")
+
+
+def confirmed_in_order(windows: DataFrame) -> DataFrame:
+    """The same with `is_first`: whether the row is the first of its window, by rid and place."""
+    keys = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.min("rid").alias("r0"), F.min_by("at", F.struct("rid", "at")).alias("p0")).where("w > 1").drop("w")
+    return windows.join(keys, ["h1", "h2"]).select("rid", "at", ((F.col("rid") == F.col("r0")) & (F.col("at") == F.col("p0"))).alias("is_first"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
