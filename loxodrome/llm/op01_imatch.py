@@ -16,6 +16,8 @@ BAND = (0.0002, 0.02)
 LEAST_DOCS = 2
 #: Lexicon subsets of each level, and levels of each text.
 SUBSETS, LEVELS = 16, 2
+#: A text's level is the binary logarithm of its length over this.
+LEVEL_CHARS = 24
 #: Lexicons of at most so many terms (16 bytes each) are broadcast. The band bounds them: terms of a share s of all
 #: documents or more are at most a text's mean number of distinct terms divided by s, whatever the number of documents.
 BROADCAST_TERMS = 1_000_000
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     """Fingerprints of each text, of its edited text and of the next document's text, and their likeness.
 
     A term of the band falls into one of 2**level random subsets of the lexicon; the first SUBSETS of them are hashed. The level
-    follows the number of a text's distinct terms, so that a subset holds about one of them; each text has LEVELS
+    follows the length of a text, so that a subset holds about one of them; each text has LEVELS
     levels one above the other. The exclusive or of the 64-bit hashes of a subset's distinct terms stands for the hash of their sorted
     list: it is the same in whatever order the terms come. A last part hashes all distinct terms alike.
 
@@ -84,13 +86,14 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     n, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     base = with_next(docs.select("doc_id", "text")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) AS int))"), F.left("following", third)))
-    base = base.select("bucket", "place", "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[terms(F.col(c)).alias(s) for c, s in (("text", "own"), ("edited", "edited"), ("following", "following"))])
+    level = lambda c: F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.length(c), F.lit(1)) / LEVEL_CHARS))).cast("int")
+    texts = (("text", "own"), ("edited", "edited"), ("following", "following"))
+    base = base.select("bucket", "place", "doc_id", *[level(c).alias(f"{s}_level") for c, s in texts], n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[terms(F.col(c)).alias(s) for c, s in texts])
     keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256"]
-    level = lambda s: F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size(s), F.lit(1)) / 2))).cast("int")
-    sides = F.array(*[F.struct(F.lit(i).alias("side"), level(s).alias("level"), F.concat(F.array(F.lit("")), F.col(s)).alias("terms")) for i, s in enumerate(SIDES)])
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"{s}_level").alias("level"), F.concat(F.array(F.lit("")), F.col(s)).alias("terms")) for i, s in enumerate(SIDES)])
     each = base.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.side", "x.level", F.explode("x.terms").alias("term"))
     each = each.select(*keys, "side", "level", F.when(F.col("term") != "", F.xxhash64("term")).alias("h"))
-    slot = lambda i: F.expr(f"shiftrightunsigned(xxhash64(h, {i}), 8) & (shiftleft(1L, level + {i}) - 1L)")
+    slot = lambda i: F.expr(f"shiftrightunsigned(xxhash64(h, level + {i}), 8) & (shiftleft(1L, level + {i}) - 1L)")
     each = each.select("*", *[slot(i).alias(f"s{i}") for i in range(LEVELS)])
     found = each.join(words, each["h"] == words["t"], "left")
     parts = [F.max(F.when(F.col("side") == i, F.col("level"))).alias(f"{s}_level") for i, s in enumerate(SIDES)]
