@@ -11,6 +11,7 @@ _MODULES = {
     "op4_minhash_forest": "op04_jaccard",
     "op5_packing": "op05_packing",
     "op6_line_windows": "op06_lines",
+    "op7_suffix_tree_lm": "op07_pst",
     "op8_sparse_suffix_array": "op08_suffix",
     "op9_crf_toxicity": "op09_toxicity",
     "op10_debruijn": "op10_debruijn",
