@@ -206,7 +206,8 @@ def _joined(rows: DataFrame, threshold: float, target: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sized.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", other)
     dealt = dealt.select(F.col("component").alias("grp"), F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", F.col("node").alias("rep"))
-    members = dealt.join(rows.select(F.col("rid").alias("rep"), "text"), "rep").select("grp", "i", "j", "blk", "rep", "text")
+    # dealt out by a shuffle at every size: the members grow with the input, and texts aren't sorted
+    members = rows.select(F.col("rid").alias("rep"), "text").join(dealt.hint("shuffle_hash"), "rep").select("grp", "i", "j", "blk", "rep", "text")
     checked = written(_verified(members.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), threshold))
     links = checked.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     classes = components(checked.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("class"))
