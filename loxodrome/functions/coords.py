@@ -63,4 +63,4 @@ def format_dmm(lat: Column, lon: Column) -> Column:
 
 
 def format_coord(lat: Column, lon: Column, fmt: Column) -> Column:
-    return F.when(fmt == "DMS", format_dms(lat, lon)).when(fmt == "DMM", format_dmm(lat, lon)).otherwise(format_dd(lat, lon))
+    return let(F.struct(lat.alias("lat"), lon.alias("lon")), lambda c: F.when(fmt == "DMS", format_dms(c.lat, c.lon)).when(fmt == "DMM", format_dmm(c.lat, c.lon)).otherwise(format_dd(c.lat, c.lon)))

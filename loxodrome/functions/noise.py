@@ -26,64 +26,81 @@ AFTER_DEGREE, BEFORE_PRIME, BEFORE_DOUBLE = ("° ", " °", "  ° ", "°"), (" 
 CAPS = {"p_all_caps_system": 0.08, "p_all_caps_user": 0.10, "full": 0.35, "partial": 0.65}
 
 
-def _gated(d: Draws, p: float, slot: str, changed: Column, text: Column) -> Column:
-    return F.when(d.maybe(p, slot), changed).otherwise(text)
+def _replaced(text: Column, old: str, new: Column, gate: Column) -> Column:
+    """All of `old` by `new` where `gate` holds; the text is mentioned once, so that steps can be chained."""
+    return F.replace(text, F.lit(old), F.when(gate, new).otherwise(old))
 
 
 def noise_marks(text: Column, d: Draws, cfg=NOISE, slot: str = "") -> Column:
     """Prime, double prime and degree marks: as they are, in ASCII, curly, spelled out or gone."""
     for mark, key, options in (("′", "p_coord_replace_prime", PRIMES), ("″", "p_coord_replace_dblprime", DOUBLE_PRIMES), ("°", "p_coord_drop_deg", DEGREES)):
-        text = _gated(d, cfg[key], f"{slot}{key}", F.replace(text, F.lit(mark), d.choose(options, f"{slot}{key}:to")), text)
+        text = _replaced(text, mark, d.choose(options, f"{slot}{key}:to"), d.maybe(cfg[key], f"{slot}{key}"))
     return text
 
 
 def noise_spacing(text: Column, d: Draws, cfg=NOISE, slot: str = "") -> Column:
     """Spaces and commas: restyled by four independent picks, commas perhaps removed."""
-    spaced = F.regexp_replace(text, r"(?U)\s+", " ")
-    spaced = F.regexp_replace(spaced, F.lit(r"(?U)\s*,\s*"), d.choose(COMMAS, f"{slot}comma"))
-    for old, options in (("° ", AFTER_DEGREE), (" ′", BEFORE_PRIME), (" ″", BEFORE_DOUBLE)):
-        spaced = F.replace(spaced, F.lit(old), d.choose(options, f"{slot}space:{old.strip()}"))
-    text = _gated(d, cfg["p_coord_extra_spaces"], f"{slot}p_coord_extra_spaces", spaced, text)
-    return _gated(d, cfg["p_coord_remove_comma"], f"{slot}p_coord_remove_comma", F.replace(text, F.lit(","), d.choose(NO_COMMAS, f"{slot}nocomma")), text)
+
+    def restyled(t: Column) -> Column:
+        spaced = F.regexp_replace(t, r"(?U)\s+", " ")
+        spaced = F.regexp_replace(spaced, F.lit(r"(?U)\s*,\s*"), d.choose(COMMAS, f"{slot}comma"))
+        for old, options in (("° ", AFTER_DEGREE), (" ′", BEFORE_PRIME), (" ″", BEFORE_DOUBLE)):
+            spaced = F.replace(spaced, F.lit(old), d.choose(options, f"{slot}space:{old.strip()}"))
+        return F.when(d.maybe(cfg["p_coord_extra_spaces"], f"{slot}p_coord_extra_spaces"), spaced).otherwise(t)
+
+    return _replaced(let(text, restyled), ",", d.choose(NO_COMMAS, f"{slot}nocomma"), d.maybe(cfg["p_coord_remove_comma"], f"{slot}p_coord_remove_comma"))
 
 
 def noise_hemi(text: Column, d: Draws, cfg=NOISE, slot: str = "", each: bool = True) -> Column:
     """Struct text, dropped. each: every letter N, S, E, W has its own coin; else one coin for the first of them that is there."""
     without = lambda t, h: F.regexp_replace(t, f"^([^{h}]*){h}", "$1")
-    dropped = F.lit(False)
     if not each:
-        gone = F.coalesce(*[F.when(F.contains(text, F.lit(h)), without(text, h)) for h in "NSEW"], text)
         hit = d.maybe(cfg["p_coord_drop_hemi"], f"{slot}hemi")
-        return F.struct(F.when(hit, gone).otherwise(text).alias("text"), (hit & (gone != text)).alias("dropped"))
+
+        def one(t: Column) -> Column:
+            gone = F.coalesce(*[F.when(F.contains(t, F.lit(h)), without(t, h)) for h in "NSEW"], t)
+            return F.struct(F.when(hit, gone).otherwise(t).alias("text"), (hit & t.rlike("[NSEW]")).alias("dropped"))
+
+        return let(text, one)
+    state = F.struct(text.alias("text"), F.lit(False).alias("dropped"))
     for h in "NSEW":
-        hit = F.contains(text, F.lit(h)) & d.maybe(cfg["p_coord_drop_hemi"], f"{slot}hemi:{h}")
-        text, dropped = F.when(hit, without(text, h)).otherwise(text), dropped | hit
-    return F.struct(text.alias("text"), dropped.alias("dropped"))
+        state = let(state, _without_letter(h, d.maybe(cfg["p_coord_drop_hemi"], f"{slot}hemi:{h}"), without))
+    return state
+
+
+def _without_letter(h: str, coin: Column, without):
+    return lambda s: F.struct(F.when(coin, without(s.text, h)).otherwise(s.text).alias("text"), (s.dropped | (coin & F.contains(s.text, F.lit(h)))).alias("dropped"))
 
 
 def noisy_coord(lat: Column, lon: Column, fmt: Column, d: Draws, slot: str, cfg=NOISE, each: bool = True) -> Column:
     """Struct text, dropped: a rendered coordinate with noise; decimal degrees only get spacing noise."""
-    plain = format_coord(lat, lon, fmt)
-    marked = F.when(fmt == "DD", plain).otherwise(noise_marks(plain, d, cfg, slot))
-    spaced = noise_spacing(marked, d, cfg, slot)
+    spaced = noise_spacing(noise_marks(format_coord(lat, lon, fmt), d, cfg, slot), d, cfg, slot)  # decimal degrees have no marks
     return let(spaced, lambda s: F.when(fmt == "DD", F.struct(s.alias("text"), F.lit(False).alias("dropped"))).otherwise(noise_hemi(s, d, cfg, slot, each)))
 
 
 def inject_typos(text: Column, d: Draws, p: float, slot: str = "typo") -> Column:
     """Drop a few letters, from the left, one in four, at most a hundredth of the length (one at least); never digits, signs or N, S, E, W."""
-    budget = F.greatest(F.lit(1), F.floor(F.length(text) * 0.01)).cast("int")
 
-    def fold(s: Column, c: Column) -> Column:
-        may = c.rlike(r"\p{L}") & ~c.isin("N", "S", "E", "W") & (s.dropped < budget)
-        drop = may & (d.uniform(F.concat_ws(":", F.lit(slot), s.at.cast("string"))) < 0.25)
-        return F.struct(F.when(drop, s.out).otherwise(F.concat(s.out, c)).alias("out"), (s.dropped + drop.cast("int")).alias("dropped"), (s.at + 1).alias("at"))
+    def typed(t: Column) -> Column:
+        budget = F.greatest(F.lit(1), F.floor(F.length(t) * 0.01)).cast("int")
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("dropped"), F.lit(0).alias("at"))
-    return F.when(d.maybe(p, f"{slot}:gate"), F.aggregate(F.split(text, ""), start, fold, lambda s: s.out)).otherwise(text)
+        def fold(s: Column, c: Column) -> Column:
+            may = c.rlike(r"\p{L}") & ~c.isin("N", "S", "E", "W") & (s.dropped < budget)
+            coin = may & (d.uniform(F.concat_ws(":", F.lit(slot), s.at.cast("string"))) < 0.25)
+            return let(coin, lambda drop: F.struct(F.concat(s.out, F.when(drop, "").otherwise(c)).alias("out"), (s.dropped + drop.cast("int")).alias("dropped"), (s.at + 1).alias("at")))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("dropped"), F.lit(0).alias("at"))
+        return F.when(d.maybe(p, f"{slot}:gate"), F.aggregate(F.split(t, ""), start, fold, lambda s: s.out)).otherwise(t)
+
+    return let(text, typed)
 
 
 def apply_caps(text: Column, d: Draws, p: float, slot: str = "caps") -> Column:
     """All in capitals, or a sixth of the purely alphabetic words (one at least)."""
+    return let(text, lambda t: _capped(t, d, p, slot))
+
+
+def _capped(text: Column, d: Draws, p: float, slot: str) -> Column:
     tokens = F.split(text, r"(?U)(?<=\s)(?=\S)|(?<=\S)(?=\s)")
     at = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(r"^\p{L}+$"), i)), lambda i: i.isNotNull())
     chosen = d.sample(at, F.greatest(F.lit(1), F.floor(F.size(at) / 6)).cast("int"), f"{slot}:which")
@@ -94,6 +111,10 @@ def apply_caps(text: Column, d: Draws, p: float, slot: str = "caps") -> Column:
 
 def format_variation(text: Column, d: Draws, cfg: dict, slot: str = "form") -> Column:
     """Bullet runs on one line, then all or some line breaks collapsed."""
+    return let(text, lambda t: _formed(t, d, cfg, slot))
+
+
+def _formed(text: Column, d: Draws, cfg: dict, slot: str) -> Column:
     bullet = r"^\s*[-*•—]\s+"
     bulleted = F.aggregate(
         F.split(text, "\n"),

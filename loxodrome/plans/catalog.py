@@ -526,7 +526,7 @@ def number_texts(spark, sf) -> DataFrame:
     return orders(spark, sf).withColumn("text", F.concat(F.lit("about "), key, F.lit(".5 km, or 1,"), (100 + F.col("k") % 900).cast("string"), F.lit(" miles; 30 min, 7 kms")))
 
 
-@query("number_spans", f"WITH p AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT k, {_NUM_TEXT} AS text FROM p), m AS (SELECT k, text, regexp_extract_all(text, '{_PY_NUMBER}', 1) AS nums, regexp_extract_all(text, '{_PY_NUMBER}', 2) AS us FROM t), e AS (SELECT k, text, unnest(nums) AS num, unnest(us) AS u FROM m) SELECT k, num, nullif(u, '') AS unit, (instr(text, num) - 1)::INT AS start FROM e")
+@query("number_spans", f"WITH p AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT k, {_NUM_TEXT} AS text FROM p), m AS (SELECT k, text, regexp_extract_all(text, '{_PY_NUMBER}', 1) AS nums, regexp_extract_all(text, '{_PY_NUMBER}', 2) AS us FROM t), e AS (SELECT k, text, unnest(nums) AS num, unnest(us) AS u FROM m) SELECT k, num, nullif(u, '') AS unit, (CASE WHEN u = 'kms' THEN instr(text, '7 kms') WHEN num = '30' THEN instr(text, '30 min') ELSE instr(text, num) END - 1)::INT AS start FROM e")
 def _(spark, sf):
     return number_texts(spark, sf).select("k", F.explode(numbers.number_spans(F.col("text"))).alias("m")).select("k", "m.num", "m.unit", "m.start")
 
@@ -550,7 +550,7 @@ def _(spark, sf):
     return numerals(spark, sf).select("k", numbers.parse_float_locale(F.col("num")).alias("v"))
 
 
-@query("near_any", f"WITH p AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT k, {_NUM_TEXT} AS text, k % 40 AS at FROM p) SELECT k, regexp_matches(lower(substr(text, greatest(at - 5, 0)::BIGINT + 1, (at + 5 - greatest(at - 5, 0))::BIGINT)), 'km|mile') AS near FROM t")
+@query("near_any", f"WITH p AS (SELECT o_orderkey AS k FROM orders), t AS (SELECT k, {_NUM_TEXT} AS text, k % 40 AS pos FROM p) SELECT k, regexp_matches(lower(substr(text, greatest(pos - 5, 0)::BIGINT + 1, (pos + 5 - greatest(pos - 5, 0))::BIGINT)), 'km|mile') AS near FROM t")
 def _(spark, sf):
     return number_texts(spark, sf).select("k", numbers.near_any(F.col("text"), (F.col("k") % 40).cast("int"), 5, ("km", "mile")).alias("near"))
 
