@@ -109,7 +109,7 @@ def _compared(suffixes: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Spans (rid, a, b, is_first) of the windows of `window` words that occur twice or more; `docs` has rid and text."""
+    """(rid, later, first): arrays of the spans (a, b) of windows of `window` words that occur twice or more; `docs` has rid and text."""
     found = written(_suffixes(docs, k, window))
     ps = repeated_positions(found).groupBy("rid").agg(F.collect_list("p").alias("ps"))
     suffixes = _with_windows(docs.select("rid", "text").join(ps, "rid").select("rid", "text", "ps"), k, window)
@@ -118,11 +118,10 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     discard(found)
     counted = confirmed_in_order(windows.where("weight > 0"))
     later = windows.where("weight = 0").select("rid", "at", F.lit(False).alias("is_first"))
-    return counted.unionByName(later).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"), "is_first")
-
-
-def _spans_by_row(docs: DataFrame, k: int, window: int) -> DataFrame:
-    return repeated_spans(docs, k, window).groupBy("rid").agg(F.collect_list(F.when(~F.col("is_first"), F.struct("a", "b"))).alias("later"), F.collect_list(F.when(F.col("is_first"), F.struct("a", "b"))).alias("first"))
+    spans = counted.unionByName(later).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"), "is_first")
+    out = written(spans.groupBy("rid").agg(F.collect_list(F.when(~F.col("is_first"), F.struct("a", "b"))).alias("later"), F.collect_list(F.when(F.col("is_first"), F.struct("a", "b"))).alias("first")))
+    discard(windows)
+    return out
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -144,7 +143,7 @@ def suffix_dedup(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     empty table gives no rows; other columns are not read.
     """
     docs = keyed(docs.select("doc_id", "text"))
-    own = _spans_by_row(docs, k, window)
+    own = repeated_spans(docs, k, window)
 
     def run(batches):
         for part in slices(batches, None):
@@ -162,7 +161,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later occurrences of repeated passages; n_chars follows the text."""
     rows = keyed(packed(docs))
-    own = _spans_by_row(rows, K, WINDOW).select("rid", "later")
+    own = repeated_spans(rows, K, WINDOW).select("rid", "later")
     cut = F.pandas_udf(_cut, "string")
     out = rows.join(own, "rid", "left").withColumn("changed", F.coalesce(F.size("later") > 0, F.lit(False)))
     return unpacked(out.withColumn("text", cut("text", "later")), docs, F.col("text"), F.col("changed"))

@@ -74,7 +74,7 @@ def _compacted(kept: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Spans (rid, a, b) of words covered by windows of `window` words that occur twice or more; `docs` has rid and text."""
+    """(rid, spans): arrays of the spans (a, b) of words covered by windows of `window` words that occur twice or more; `docs` has rid and text."""
     found = written(_occurrences(docs, k, window))
     kept = repeated_positions(found)
     ahead = Window.partitionBy("rid").orderBy("p")
@@ -135,7 +135,10 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     windows = written(docs.select("rid", "text").join(per_doc, "rid").mapInArrow(run, "h1 bigint, h2 int, rid bigint, at int, weight int"))
     discard(kept)
     counted = confirmed(windows.where("weight > 0")).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return counted.unionByName(windows.where("weight < 0").select("rid", F.col("at").alias("a"), (F.col("at") - F.col("weight")).alias("b")))
+    spans = counted.unionByName(windows.where("weight < 0").select("rid", F.col("at").alias("a"), (F.col("at") - F.col("weight")).alias("b")))
+    out = written(spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    discard(windows)
+    return out
 
 
 def debruijn_dedup(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -146,7 +149,7 @@ def debruijn_dedup(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     each other's passages); an empty table gives no rows; other columns are not read.
     """
     docs = keyed(docs.select("doc_id", "text"))
-    spans = repeated_spans(docs, k, window).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(docs, k, window)
 
     def run(batches):
         for part in slices(batches):
