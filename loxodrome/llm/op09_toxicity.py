@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, slices, table
+from .common import SLICE_CHARS, in_fold, slices, table
 
 ORACLE_SQL = None
 #: Bounds of the sample of labelled rows that the model is trained on, by class.
@@ -185,6 +185,15 @@ class _Words(dict):
         return score
 
 
+def _scored(texts: list[str], model: dict, emission: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the texts, marginals of all their words, and the number of words of each."""
+    words = [WORD.findall(t) if t else [] for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    scores = np.fromiter((emission[w] for own in words for w in own), float, int(lengths.sum()))
+    marginal = chain(scores, lengths, model["trans"])[0]
+    return 1 / (1 + np.exp(-np.clip(gathered(marginal, lengths) @ model["coef"], -30, 30))), marginal, lengths
+
+
 def toxicity(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame:
     """Columns doc_id, score (0 to 1), n_toxic_words, and spans: array of (start, end) code points of words whose marginal is 0.5 or more.
 
@@ -198,11 +207,7 @@ def toxicity(docs: DataFrame, model: dict, with_spans: bool = True) -> DataFrame
         emission = _Words(model)
         for part in slices(batches):
             texts = [t or "" for t in part["text"]]
-            words = [WORD.findall(t) if t else [] for t in texts]
-            lengths = np.array([len(w) for w in words], np.int64)
-            scores = np.fromiter((emission[w] for own in words for w in own), float, int(lengths.sum()))
-            marginal = chain(scores, lengths, model["trans"])[0]
-            p = 1 / (1 + np.exp(-np.clip(gathered(marginal, lengths) @ model["coef"], -30, 30)))
+            p, marginal, lengths = _scored(texts, model, emission)
             ends = np.cumsum(lengths)
             hits = np.flatnonzero(marginal >= 0.5)
             of = np.searchsorted(ends, hits, side="right")
@@ -243,10 +248,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         model = shared.value
         emission = _Words(model)
-        words = [WORD.findall(t) if t else [] for t in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        scores = np.fromiter((emission[w] for own in words for w in own), float, int(lengths.sum()))
-        marginal = chain(scores, lengths, model["trans"])[0]
-        return pd.Series(1 / (1 + np.exp(-np.clip(gathered(marginal, lengths) @ model["coef"], -30, 30))))
+        out, at, room = [], 0, SLICE_CHARS
+        texts = [t or "" for t in texts]
+        for i, t in enumerate(texts):  # a bounded number of characters at a time
+            if room < len(t) and i > at:
+                out.append(_scored(texts[at:i], model, emission)[0])
+                at, room = i, SLICE_CHARS
+            room -= len(t)
+        out.append(_scored(texts[at:], model, emission)[0])
+        return pd.Series(np.concatenate(out))
 
     return docs.where(score(F.col("text")) < 0.5)
