@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geodesy import KM_PER_MILE, KM_PER_NAUTICAL_MILE, let
-from .units import contains_any, normalize_unit
+from .units import normalize_unit
 
 # The pattern of a number with an optional unit, and the words that count for or against a number.
 NUMBER = (
@@ -108,7 +110,7 @@ def parse_float_locale(num: Column) -> Column:
 def near_any(text: Column, start: Column, window: int, needles) -> Column:
     """Whether one of the lower-case needles stands within `window` characters on either side of `start`."""
     low = F.greatest(start - window, F.lit(0))
-    return contains_any(F.lower(F.substring(text, low + 1, start + window - low)), needles)
+    return F.lower(F.substring(text, low + 1, start + window - low)).rlike("|".join(map(re.escape, needles)))
 
 
 def interpretations(value: Column) -> Column:
