@@ -21,7 +21,19 @@ SHINGLE, THRESHOLD, TARGET = 5, 0.8, 0.9995
 TREES, DEPTH = 32, 8
 #: Texts that one task compares with each other, at most twice as many; larger groups are dealt to pairs of blocks.
 BLOCK = 128
-ORACLE_SQL = None
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     g AS (SELECT array_to_string(ws, ' ') AS txt, min(doc_id) AS text_id, count(*) AS n_copies, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY 1),
+     s AS (SELECT DISTINCT text_id, unnest(CASE WHEN len(ws) < 5 THEN [txt || chr(10)] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM g),
+     c AS (SELECT text_id, count(*) AS n FROM s GROUP BY text_id),
+     m AS (SELECT a.text_id AS a, b.text_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.text_id <> b.text_id GROUP BY ALL),
+     l AS (SELECT a, b FROM m JOIN c x ON x.text_id = a JOIN c y ON y.text_id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+     r AS (SELECT text_id AS node, text_id AS top FROM g UNION SELECT l.b, r.top FROM r JOIN l ON l.a = r.node),
+     k AS (SELECT node, min(top) AS class_id FROM r GROUP BY node),
+     d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT w.doc_id, coalesce(g.text_id, w.doc_id) AS text_id, coalesce(k.class_id, w.doc_id) AS class_id, coalesce(n_copies, 1)::BIGINT AS n_copies, coalesce(n_links, 0)::BIGINT AS n_links
+FROM w LEFT JOIN g ON g.txt = array_to_string(w.ws, ' ') LEFT JOIN k ON k.node = g.text_id LEFT JOIN d ON d.a = g.text_id
+"""
 _RANDOM = np.random.default_rng(4)
 _FACTORS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, np.uint64)

@@ -21,7 +21,15 @@ from .spans import Minimisers, confirmed_in_order, keyed, merged, packed, repeat
 K, WINDOW = 8, 50
 #: Words that one letter of a suffix stands for when suffixes are sorted, and letters in the sort key.
 LETTER, LETTERS = 8, 7
-ORACLE_SQL = None
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     s AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w),
+     g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM s),
+     r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS removed, count(*) OVER (PARTITION BY h) AS n FROM g),
+     c AS (SELECT DISTINCT doc_id, removed, unnest(range(i, i + 50)) AS p FROM r WHERE n > 1),
+     q AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, removed ORDER BY p) AS island FROM c)
+SELECT doc_id, min(p) - 1 AS start, max(p) AS "end", removed FROM q GROUP BY doc_id, removed, island
+"""
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
