@@ -33,6 +33,7 @@ def user_prompt(a: Column, b: Column, d: Draws, weights: dict, bank: dict, slot:
         unit = F.when(mode == m, d.weighted(dict(zip(("km", "mi", "nmi"), w, strict=True)), f"{slot}:unit:{m}")).otherwise(unit)
     unit = F.when((mode == "short_q") & ~d.maybe(P_SHORT_UNIT, f"{slot}:named"), None).otherwise(unit)
 
+    # The wording of the modes without templates.
     def write(s: Column) -> Column:
         raw = s.raw
         text = (
