@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,11 +59,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def _likeness(a: str, b: str) -> Column:
     """Of two texts: equal subsets among those that either has terms of, over the levels they share; 1 for equal fingerprints."""
-    pairs = [(i, j) for i in range(LEVELS) for j in range(LEVELS)]
-    same = lambda i, j: F.col(f"{a}_level") + i == F.col(f"{b}_level") + j
-    x, y = (lambda i, k: F.col(f"{a}_{i}_{k}")), (lambda j, k: F.col(f"{b}_{j}_{k}"))
-    equal = reduce(add, [F.when(same(i, j), reduce(add, [((x(i, k) == y(j, k)) & (x(i, k) != 0)).cast("int") for k in range(SUBSETS)])).otherwise(0) for i, j in pairs])
-    either = reduce(add, [F.when(same(i, j), reduce(add, [((x(i, k) != 0) | (y(j, k) != 0)).cast("int") for k in range(SUBSETS)])).otherwise(0) for i, j in pairs])
+    low, high = F.greatest(f"{a}_level", f"{b}_level"), F.least(f"{a}_level", f"{b}_level") + LEVELS - 1
+    shared = lambda s: F.filter(s, lambda x: x.level.between(low, high))
+    equal = F.size(F.array_intersect(a, b))
+    either = F.size(F.array_union(*[F.transform(shared(s), lambda x: x.level * SUBSETS + x.subset) for s in (a, b)]))
     return F.when(F.col(f"{a}_print") == F.col(f"{b}_print"), 1.0).when(either > 0, equal / either).otherwise(0.0)
 
 
@@ -80,7 +76,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
 
     Null texts are empty, and a text without terms has a fingerprint of zeros. A single row follows itself. Repeated rows are
     fingerprinted alike; an empty table gives no rows; other columns are not read. Texts are shuffled once, for the
-    order of ids; then one row of subset hashes for each document.
+    order of ids; all that follows stays within the ranges, so that nothing else of them is shuffled.
     """
     words = written(lexicon(docs, band))
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
@@ -91,18 +87,20 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     base = base.select("bucket", "place", "doc_id", *[level(c).alias(f"{s}_level") for c, s in texts], n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *[terms(F.col(c)).alias(s) for c, s in texts])
     keys = ["bucket", "place", "doc_id", "n_chars", "edited_sha256"]
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"{s}_level").alias("level"), F.concat(F.array(F.lit("")), F.col(s)).alias("terms")) for i, s in enumerate(SIDES)])
-    each = base.select(*keys, F.explode(sides).alias("x")).select(*keys, "x.side", "x.level", F.explode("x.terms").alias("term"))
-    each = each.select(*keys, "side", "level", F.when(F.col("term") != "", F.xxhash64("term")).alias("h"))
-    slot = lambda i: F.expr(f"shiftrightunsigned(xxhash64(h, level + {i}), 8) & (shiftleft(1L, level + {i}) - 1L)")
-    each = each.select("*", *[slot(i).alias(f"s{i}") for i in range(LEVELS)])
+    levels = [f"{s}_level" for s in SIDES]
+    each = base.select(*keys, *levels, F.explode(sides).alias("x")).select(*keys, *levels, "x.side", "x.level", F.explode("x.terms").alias("term"))
+    each = each.select(*keys, *levels, "side", "level", F.when(F.col("term") != "", F.xxhash64("term")).alias("h"))
     found = each.join(words, each["h"] == words["t"], "left")
-    parts = [F.max(F.when(F.col("side") == i, F.col("level"))).alias(f"{s}_level") for i, s in enumerate(SIDES)]
-    parts += [F.bit_xor(F.when(F.col("side") == i, F.col("h"))).alias(f"{s}_all") for i, s in enumerate(SIDES)]
-    parts += [F.bit_xor(F.when((F.col("side") == i) & (F.col(f"s{j}") == k), F.col("t"))).alias(f"{s}_{j}_{k}") for i, s in enumerate(SIDES) for j in range(LEVELS) for k in range(SUBSETS)]
-    out = found.groupBy(*keys).agg(*parts)
-    hashes = [f"{s}_{j}_{k}" for s in SIDES for j in range(LEVELS) for k in range(SUBSETS)] + [f"{s}_all" for s in SIDES]
-    out = out.select(*keys, *[f"{s}_level" for s in SIDES], *[F.coalesce(c, F.lit(0)).alias(c) for c in hashes])
-    text = lambda s: F.concat_ws("-", F.lpad(F.hex(f"{s}_level"), 2, "0"), *[F.when(F.col(f"{s}_{j}_{k}") == 0, "0").otherwise(F.right(F.hex(f"{s}_{j}_{k}"), F.lit(8))) for j in range(LEVELS) for k in range(SUBSETS)], F.lpad(F.hex(f"{s}_all"), 16, "0"))
+    # a term is in one subset of each level; the entry -1 hashes all terms, and is there for every text
+    slot = lambda i: F.expr(f"cast(shiftrightunsigned(xxhash64(h, level + {i}), 8) & (shiftleft(1L, level + {i}) - 1L) AS int)")
+    places = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("subset"), F.coalesce("h", F.lit(0)).alias("x")), *[F.when(F.col("t").isNotNull() & (slot(i) < SUBSETS), F.struct((F.col("level") + i).alias("level"), slot(i).alias("subset"), F.col("t").alias("x"))) for i in range(LEVELS)])
+    placed = found.select(*keys, *[f"{s}_level" for s in SIDES], "side", F.explode(places).alias("p")).where("p IS NOT NULL")
+    keys += [f"{s}_level" for s in SIDES]
+    hashed = placed.groupBy(*keys, "side", "p.level", "p.subset").agg(F.bit_xor("p.x").alias("x"))
+    mine = lambda i: F.sort_array(F.collect_list(F.when((F.col("side") == i) & (F.col("level") >= 0), F.struct("level", "subset", "x"))))
+    whole = lambda i: F.coalesce(F.max(F.when((F.col("side") == i) & (F.col("level") < 0), F.col("x"))), F.lit(0))
+    out = hashed.groupBy(*keys).agg(*[mine(i).alias(s) for i, s in enumerate(SIDES)], *[whole(i).alias(f"{s}_all") for i, s in enumerate(SIDES)])
+    text = lambda s: F.concat_ws("-", F.lpad(F.hex(f"{s}_level"), 2, "0"), F.array_join(F.transform(s, lambda x: F.concat(F.hex(x.level * SUBSETS + x.subset), F.lit("."), F.right(F.hex(x.x), F.lit(8)))), "-"), F.lpad(F.hex(f"{s}_all"), 16, "0"))
     out = out.select("*", *[text(s).alias(f"{s}_print") for s in SIDES])
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("own_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), _likeness("own", "edited").alias("near_edited"), _likeness("own", "following").alias("near_next"))
 
