@@ -3,27 +3,35 @@
 The tree's root is a smoothed distribution of words. A context of one or more preceding words becomes a state if it is frequent
 enough and if the words after it are distributed otherwise than after its own suffix (a divergence test). A word's probability
 is taken in the longest suffix of its past that is a state; what a state hasn't seen often enough it leaves to its
-suffix. All thresholds are shares of the training tokens, so that the tree is bounded whatever the size of the corpus: at most
-1 / CONTEXT_SHARE contexts of each length and 1 / PAIR_SHARE stored words after them.
+suffix. The least counts are the same for any size of corpus, so the number of states grows with it: states and the words after
+them are written tables, joined by the hashes of word sequences. Workers hold the most frequent entries and a bit filter of all of them, both bounded;
+these save rows of the joins and don't change results.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, slices, table, written
-from .spans import keyed
+from .common import discard, fan_out, in_fold, slices, table, written
+from .spans import _MEMO, keyed, mixed
 
 ORACLE_SQL = None
 DEPTH = 2
-#: Least shares of the training tokens: of a word that workers know by number, of a context, and of a context with the word after it.
-WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 1e-6, 5e-5, 2e-6
+#: Least counts of a context and of a context with the word after it.
+CONTEXT_COUNT, PAIR_COUNT = 10, 2
+#: Entries of at least this share of the training tokens are held by workers; all others are joined.
+HOT_SHARE = 2e-6
+#: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); a fuller filter only lets more rows through to the join.
+FILTER_BITS, MOST_BITS = 16, 27
+#: Training tokens for each bucket of the counting.
+BUCKET_TOKENS = 1_000_000
 #: Least divergence (nats) of a state from its suffix, and the count that is left over from each stored word.
 LEAST_DIVERGENCE, DISCOUNT = 0.01, 0.5
 END = b""
@@ -37,14 +45,33 @@ def tokens_of(text: str | None) -> list[bytes]:
     return out
 
 
+def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, the number of tokens of each text, and each token's place in its text."""
+    split = [tokens_of(t) for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    memo = _MEMO
+    hashes = np.fromiter((memo[w] for own in split for w in own), np.uint64, int(lengths.sum()))
+    return hashes, lengths, np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def longer(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the sequences one word longer that end at each token but the first: from its own and from that of the token before it."""
+    return _joined(grams[:-1], grams[1:])
+
+
+def _joined(ctx: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return mixed(up * np.uint64(0x9E3779B97F4A7C15) + ctx)
+
+
 def unigrams(docs: DataFrame) -> DataFrame:
-    """(w, c): how often each token occurs in `docs`; counted in the workers before the shuffle."""
+    """(g, c): how often each token (by its hash) occurs in `docs`; counted in the workers before the shuffle."""
 
     def run(batches):
         counts: Counter = Counter()
 
         def flush():
-            out = pa.RecordBatch.from_pydict({"w": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())})
+            hashes = np.fromiter((_MEMO[w] for w in counts), np.uint64, len(counts))
+            out = pa.RecordBatch.from_pydict({"g": pa.array(hashes.view(np.int64)), "c": pa.array(list(counts.values()), pa.int64())})
             counts.clear()
             return out
 
@@ -55,215 +82,260 @@ def unigrams(docs: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
-class Tree:
-    """Root distribution and states; numbers are those of `words`, the most frequent first."""
+def filter_of(entries: DataFrame) -> np.ndarray | None:
+    """Bytes of a filter of the column g, None where there is none. Its size is bounded; made by parts in the workers."""
+    n = entries.count()
+    if not n:
+        return None
+    power = min(MOST_BITS, max(15, math.ceil(math.log2(FILTER_BITS * n))))
+    at = entries.select(F.expr(f"g & {(1 << power) - 1}L").alias("at")).select(F.expr("shiftright(at, 15)").alias("part"), F.expr("at & 32767L").alias("bit"))
+    parts = at.repartition("part").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
+    out = np.zeros((1 << power - 15, 4096), np.uint8)
+    out[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
+    return out.ravel()
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, n: int, v: int, n1: int, n2: int):
-        self.words, self.counts, self.n, self.v = words, counts, n, v
-        self.root_discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.size = len(words)
-        self.root = np.log10((counts - self.root_discount) / n)
-        self.contexts: list[np.ndarray] = []  # by length: sorted codes of the states
-        self.left: list[np.ndarray] = []  # log10 of what each state leaves to its suffix
-        self.pairs: list[np.ndarray] = []  # sorted codes of stored (state number, word)
-        self.scores: list[np.ndarray] = []  # log10 of their probabilities
-        self.number: dict[bytes, int] | None = None
 
-    def unknown(self) -> float:
-        return math.log10(self.root_discount * self.v / self.n)
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers of all tokens (-1: not known by number), the number of tokens of each text, and the tokens."""
-        if self.number is None:
-            self.number = {w: i for i, w in enumerate(self.words)}
-        get = self.number.get
-        flat: list[bytes] = []
-        lengths = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            own = tokens_of(t)
-            lengths[i] = len(own)
-            flat += own
-        return np.fromiter((get(w, -1) for w in flat), np.int64, len(flat)), lengths, flat
-
-    def code(self, ids: np.ndarray, doc_start: np.ndarray, length: int) -> np.ndarray:
-        """Code of the `length` words before each token, -1 where one is missing or has no number."""
-        out = np.zeros(len(ids), np.int64)
-        for back in range(length, 0, -1):
-            before = np.full(len(ids), -1, np.int64)
-            before[back:] = ids[:-back] if back < len(ids) else -1
-            before[np.arange(len(ids)) - doc_start < back] = -1
-            out = np.where((out < 0) | (before < 0), -1, out * self.size + before)
-        return out
+def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = grams & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    def states(self, ids: np.ndarray, doc_start: np.ndarray, length: int) -> np.ndarray:
-        """Number of the state of that many words before each token, -1 for none."""
-        own, codes = self.contexts[length - 1], self.code(ids, doc_start, length)
-        if not len(own):
-            return np.full(len(ids), -1, np.int64)
-        at = np.minimum(np.searchsorted(own, codes), len(own) - 1)
-        return np.where(own[at] == codes, at, -1)
 
-    def log10(self, ids: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after its past; of tokens without a number only what states leave to the root."""
-        out = np.where(ids >= 0, self.root[ids], 0.0)
-        for length in range(1, len(self.contexts) + 1):
-            state = self.states(ids, doc_start, length)
-            has = state >= 0
-            pairs = self.pairs[length - 1]
-            if not has.any() or not len(pairs):
-                continue
-            codes = np.where(has & (ids >= 0), state * self.size + ids, -1)
-            at = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
-            stored = pairs[at] == codes
-            out = np.where(stored, self.scores[length - 1][at], np.where(has, out + self.left[length - 1][np.maximum(state, 0)], out))
-        return out
+def _packed(ctx: np.ndarray, up: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of pairs as one compressed string: distinct contexts and their runs, distinct suffixes and their numbers, counts."""
+    order = np.argsort(ctx)
+    contexts, runs = np.unique(ctx[order], return_counts=True)
+    suffixes, number = np.unique(up[order], return_inverse=True)
+    sizes = np.array([len(ctx), len(contexts), len(suffixes)], np.int64)
+    raw = b"".join(x.tobytes() for x in (sizes, contexts, suffixes, runs.astype(np.uint32), number.astype(np.uint32), counts[order].astype(np.uint32)))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, k, m = np.frombuffer(raw, np.int64, 3).tolist()
+    contexts, suffixes = np.frombuffer(raw, np.uint64, k, 24), np.frombuffer(raw, np.uint64, m, 24 + 8 * k)
+    rest = np.frombuffer(raw, np.uint32, offset=24 + 8 * (k + m))
+    return np.repeat(contexts, rest[:k]), suffixes[rest[k : k + n]], rest[k + n :].astype(np.int64)
 
-    def suffix_log10(self, codes: np.ndarray, length: int, word: np.ndarray) -> np.ndarray:
-        """log10 probability of `word` after the context's suffix (the context without its first word)."""
-        past = np.stack([codes // self.size**k % self.size for k in range(length - 1)][::-1], 1) if length > 1 else np.zeros((len(word), 0), np.int64)
-        flat = np.concatenate([past, word[:, None]], 1).ravel()
-        start = np.repeat(np.arange(len(word)) * length, length)
-        return self.log10(flat, start)[length - 1 :: length]
-
-    def grow(self, contexts: np.ndarray, totals: np.ndarray, state: np.ndarray, word: np.ndarray, count: np.ndarray) -> None:
-        """Add the states of the next length among `contexts` (sorted) from the counts of the words after them."""
-        length = len(self.contexts) + 1
-        parent = 10 ** self.suffix_log10(contexts[state], length, word)
-        own = count / totals[state]
-        k = len(contexts)
-        rest, rest_parent = 1 - np.bincount(state, own, k), 1 - np.bincount(state, parent, k)
-        rest, rest_parent = np.maximum(rest, 1e-12), np.maximum(rest_parent, 1e-12)
-        divergence = np.bincount(state, own * np.log(own / parent), k) + rest * np.log(rest / rest_parent)
-        kept = divergence >= LEAST_DIVERGENCE
-        renumber = np.cumsum(kept) - 1
-        use = kept[state]
-        p = (count - DISCOUNT) / totals[state]
-        left = np.maximum(1 - np.bincount(state, p, k), 1e-12)
-        codes = renumber[state[use]] * self.size + word[use]
-        order = np.argsort(codes)
-        self.pairs.append(codes[order])
-        self.scores.append(np.log10((p + left[state] * parent)[use][order]))
-        self.left.append(np.log10(left[kept]))
-        self.contexts.append(contexts[kept])
-
-
-def _starts(lengths: np.ndarray) -> np.ndarray:
-    return np.repeat(np.cumsum(lengths) - lengths, lengths)
-
-
-def followers(docs: DataFrame, tree: Tree, contexts: np.ndarray, length: int, frequent: int) -> DataFrame:
-    """(state, word, c): counts of the words after each of the sorted contexts, and of each context at all (word -1). Words are the `frequent` first ones."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, contexts))
+
+def followers(docs: DataFrame, bits: np.ndarray, length: int, tokens: int) -> DataFrame:
+    """(g, ctx, up, c): counts of the contexts of `length` words that pass the filter with the word after them; `up` is the context's suffix with that word.
+
+    Only pairs of PAIR_COUNT or more. Pairs are dealt to buckets by their own hash, so that a frequent context is in all of them;
+    workers count what they hold before, and there are as many buckets as the tokens need.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    buckets = np.uint64(max(fan_out(docs), tokens // BUCKET_TOKENS + 1))
 
     def run(batches):
-        tree, contexts = shared.value
+        bits = shared.value
         held: list[np.ndarray] = []
         room = 0
 
         def flush():
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"code": pa.array(codes), "c": pa.array(counts.astype(np.int64))})
+            ctx, up = np.concatenate(held, 1)
+            held.clear()
+            g, first, counts = np.unique(_joined(ctx, up), return_index=True, return_counts=True)
+            bucket = (g % buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first, counts = first[order], counts[order]
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+            blobs = [_packed(ctx[first[i:j]], up[first[i:j]], counts[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][edges[:-1]]), "pairs": pa.array(blobs, pa.binary())})
 
         for part in slices(batches):
-            ids, lengths, _ = tree.numbers(part["text"])
-            codes = tree.code(ids, _starts(lengths), length)
-            at = np.minimum(np.searchsorted(contexts, codes), len(contexts) - 1)
-            has = contexts[at] == codes
-            word = np.where(ids < frequent, ids, -1)
-            held.append(at[has] * (tree.size + 1) + word[has] + 1)
-            room += len(held[-1])
+            grams, _, place = hashes_of(part["text"])
+            if len(grams) <= length:
+                continue
+            for _ in range(length - 1):
+                grams = longer(grams)
+            at = np.flatnonzero((place[length:] >= length) & passes(bits, grams[:-1]))
+            held.append(np.stack([grams[at], grams[at + 1]]))
+            room += len(at)
             if room > 4_000_000:
                 yield flush()
-                held, room = [], 0
+                room = 0
         if room:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c"))
-    return counted.select(F.expr(f"code div {tree.size + 1}").alias("state"), (F.col("code") % (tree.size + 1) - 1).alias("word"), "c")
+    def merge(own: pa.Table) -> pa.Table:
+        ctx, up, c = (np.concatenate(x) for x in zip(*map(_unpacked, own["pairs"].to_pylist()), strict=True))
+        g, first, at = np.unique(_joined(ctx, up), return_index=True, return_inverse=True)
+        counts = np.bincount(at, c).astype(np.int64)
+        kept = counts >= PAIR_COUNT
+        return pa.table({k: pa.array(x[kept].view(np.int64)) for k, x in (("g", g), ("ctx", ctx[first]), ("up", up[first]), ("c", counts))})
+
+    counted = docs.select("text").mapInArrow(run, "bucket bigint, pairs binary")
+    return counted.groupBy("bucket").applyInArrow(merge, "g bigint, ctx bigint, up bigint, c bigint")
+
+
+def grown(docs: DataFrame, before: DataFrame, length: int, tokens: int) -> tuple[DataFrame, DataFrame] | None:
+    """The next level, None where no context is frequent enough: the sequences (g, c, r, a) of its contexts with a word, and its states (g, c, b).
+
+    `before` has (g, c, r) of the level before, r being the probability of the last word after the others. `a` is what a state
+    adds to log10 r of its suffix, b the log10 of what it leaves to it; a sequence whose context is no state adds nothing.
+    """
+    bits = filter_of(before.where(F.col("c") >= CONTEXT_COUNT))
+    if bits is None:
+        return None
+    pairs = written(followers(docs, bits, length, tokens))
+    parents = before.select(F.col("g").alias("up"), F.col("r").alias("q"))
+    totals = before.where(F.col("c") >= CONTEXT_COUNT).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
+    seen = written(pairs.join(parents, "up").join(totals, "ctx").select("g", "ctx", "c", "q", "total"))
+    discard(pairs)
+    own, p = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total")
+    least = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+    each = seen.groupBy("ctx").agg(F.max("total").alias("c"), F.sum(own * F.log(own / F.col("q"))).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"))
+    kept = each.where(F.col("d") + F.col("rest") * F.log(F.col("rest") / F.col("rest_q")) >= LEAST_DIVERGENCE)
+    states = written(kept.select(F.col("ctx").alias("g"), "c", F.log10("left").alias("b")))
+    left = states.select(F.col("g").alias("ctx"), "b")
+    r = F.when(F.col("b").isNull(), F.col("q")).otherwise(p + F.pow(F.lit(10.0), "b") * F.col("q"))
+    level = seen.join(left, "ctx", "left").withColumn("r", r)
+    level = written(level.select("g", "c", "r", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")).alias("a")))
+    discard(seen)
+    return level, states
+
+
+class Tree:
+    """Numbers of the root and the written table of all entries (g, words, c, a, b).
+
+    log10 of a token's probability is the sum of `a` of the sequences that end at it and of `b` of those that end before it, over
+    all lengths: a state of a longer context corrects what the shorter ones add up to.
+    """
+
+    def __init__(self, n: int, v: int, n1: int, n2: int):
+        self.n, self.v = max(n, 1), v
+        self.root_discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        self.contexts: list[DataFrame] = []  # by length: the states
+        self.entries: DataFrame | None = None
+
+    def unknown(self) -> float:
+        return math.log10(self.root_discount * self.v / self.n) if self.v else math.log10(0.5)
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """Hashes of the words that occur twice or more, the most frequent first. On the driver: for looking into small trees alone."""
+        return self.entries.where((F.col("words") == 1) & (F.col("c") >= 2)).orderBy(F.col("c").desc(), "g").toArrow()["g"].to_numpy().view(np.uint64)
+
+    @property
+    def size(self) -> int:
+        return len(self.words)
+
+    def log10(self, ids: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
+        """log10 probability of each token (by its place in `words`) after its past; of -1 only what states leave to the root."""
+        rows = self.entries.where((F.col("words") > 1) | (F.col("c") >= 2)).orderBy(F.expr("g")).toArrow()
+        own, a, b = (rows[k].to_numpy() for k in ("g", "a", "b"))
+        grams, place = np.where(ids >= 0, self.words[ids], np.uint64(0)), np.arange(len(ids)) - doc_start
+        out = np.zeros(len(ids))
+        for length in range(1, len(self.contexts) + 2):
+            grams = longer(grams) if length > 1 else grams
+            at = np.minimum(np.searchsorted(own, grams.view(np.int64)), len(own) - 1)
+            has = (own[at] == grams.view(np.int64)) & (place[length - 1 :] >= length - 1)
+            out[length - 1 :] += np.where(has, a[at], 0.0)
+            after = np.where(has, b[at], 0.0)[:-1]
+            out[length:] += np.where(place[length:] >= length, after, 0.0)
+        return out
 
 
 def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of `docs` and the written table (w, c) of all their tokens."""
+    """The tree of `docs` and the written table of its entries."""
     counts = written(unigrams(docs))
-    n, v, n1, n2 = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    known = counts.where(F.col("c") >= max(2, WORD_SHARE * n)).orderBy(F.col("c").desc(), "w").toArrow()
-    tree = Tree(known["w"].to_pylist(), known["c"].to_numpy().astype(float), max(n, 1), v, n1, n2)
-    frequent = int((tree.counts >= max(2, PAIR_SHARE * n)).sum())
-    contexts = np.flatnonzero(tree.counts >= max(10, CONTEXT_SHARE * n))
+    tree = Tree(*(int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()))
+    before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n)
+    zero = F.lit(0.0)
+    parts = [before.select("g", F.lit(1).alias("words"), "c", F.log10("r").alias("a"), zero.alias("b"))]
+    tables = [counts]
     for length in range(1, DEPTH + 1):
-        if not len(contexts):
+        found = grown(docs, before, length, tree.n)
+        if found is None:
             break
-        rows = followers(docs, tree, contexts, length, frequent)
-        found = rows.where((F.col("c") >= max(2, PAIR_SHARE * n)) | (F.col("word") < 0)).toArrow()
-        state, word, count = (found[c].to_numpy() for c in ("state", "word", "c"))
-        all_ = rows.groupBy("state").agg(F.sum("c").alias("c")).toArrow() if length > 1 else None
-        totals = tree.counts[contexts] if all_ is None else np.zeros(len(contexts))
-        if all_ is not None:
-            totals[all_["state"].to_numpy()] = all_["c"].to_numpy()
-        real = word >= 0
-        state, word, count = state[real], word[real], count[real].astype(float)
-        tree.grow(contexts, np.maximum(totals, 1), state, word, count)
-        enough = count >= max(10, CONTEXT_SHARE * n)
-        contexts = np.unique(contexts[state[enough]] * tree.size + word[enough])
-    return tree, counts
+        before, states = found
+        tables += found
+        tree.contexts.append(states)
+        parts.append(before.where("a IS NOT NULL").select("g", F.lit(length + 1).alias("words"), "c", "a", zero.alias("b")))
+        parts.append(states.select("g", F.lit(length).alias("words"), "c", zero.alias("a"), "b"))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionAll(part)
+    tree.entries = written(together.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+    for done in tables:
+        if not any(done is states for states in tree.contexts):
+            discard(done)
+    return tree, tree.entries
 
 
 def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
 
     A null or empty text is one token, its end. Repeated rows are scored alike; without training rows every token is unknown and
-    probabilities come from the smoothing alone; an empty table gives no rows; other columns are not read. Words that workers
-    don't know by number are looked up in the table of all counts by a shuffled join.
+    probabilities come from the smoothing alone; an empty table gives no rows; other columns are not read. Entries of the tree that workers
+    don't hold are looked up in its table by a shuffled join.
     """
-    tree, counts = learn(training.select("text"))
+    tree, entries = learn(training.select("text"))
     n, v = tree.n if tree.v else 0, tree.v
     rows = keyed(docs.select("doc_id", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
     low = math.log10(n + 0.5 * (v + 1))
+    is_hot = F.col("c") >= max(2, HOT_SHARE * n)
+    hot = entries.where(is_hot).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
+    own = tuple(hot[k].to_numpy() for k in ("g", "c", "value"))
+    shared = docs.sparkSession.sparkContext.broadcast((*own, filter_of(entries.where("words > 1"))))
+    deepest = len(tree.contexts) + 1
 
     def run(batches):
-        tree = shared.value
+        own, counts, values, bits = shared.value
+        base_of = np.log10(counts + 0.5) - low
         for part in slices(batches):
-            ids, lengths, flat = tree.numbers(part["text"])
+            grams, lengths, place = hashes_of(part["text"])
             starts = np.cumsum(lengths) - lengths
-            known = ids >= 0
-            c = np.where(known, tree.counts[ids], 0) if tree.size else np.zeros(len(ids))
-            base = np.where(known, np.log10(c + 0.5) - low, 0.0)
-            own = tree.log10(ids, _starts(lengths)) if tree.size else np.zeros(len(ids))
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            score, base, known = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), np.int64)
+            cold, cold_of = [], []
+            for length in range(1, deepest + 1):
+                if length > 1:
+                    grams = longer(grams)
+                    at = np.flatnonzero((place[length - 1 :] >= length - 1) & passes(bits, grams)) if bits is not None else np.zeros(0, np.int64)
+                else:
+                    at = np.arange(len(grams))
+                asked, to = grams[at].view(np.int64), at + length - 1
+                if len(own):
+                    found = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+                    has = own[found] == asked
+                    score[to[has]] += values[found[has]]
+                    if length == 1:
+                        base[has], known[has] = base_of[found[has]], 1
+                    asked, to = asked[~has], to[~has]
+                cold.append(asked)
+                cold_of.append(of[to])
             rid = np.array(part["rid"], np.int64)
-            rare = np.flatnonzero(~known)
-            of = np.searchsorted(np.cumsum(lengths), rare, side="right")
-            k = len(rid)
-            none = np.r_[np.zeros(k, bool), np.ones(len(rare), bool)]
-            pad = np.zeros(len(rare))
+            words, cold, cold_of = len(cold[0]), np.concatenate(cold), np.concatenate(cold_of)
+            k, m = len(rid), len(cold)
+            none, pad = np.r_[np.zeros(k, bool), np.ones(m, bool)], np.zeros(m)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "rid": pa.array(np.r_[rid, rid[of]]),
-                    "w": pa.array([None] * k + [flat[i] for i in rare.tolist()], pa.binary()),
-                    "n_tokens": pa.array(np.r_[lengths, np.zeros(len(rare), np.int64)], mask=none),
-                    "n_known": pa.array(np.r_[np.add.reduceat(known, starts, dtype=np.int64), np.zeros(len(rare), np.int64)], mask=none),
+                    "rid": pa.array(np.r_[rid, rid[cold_of]]),
+                    # rows of the documents themselves are dealt out by a key of their own
+                    "g": pa.array(np.r_[mixed(rid.view(np.uint64)).view(np.int64), cold]),
+                    "word": pa.array(np.arange(k + m) < k + words),
+                    "n_tokens": pa.array(np.r_[lengths, np.zeros(m, np.int64)], mask=none),
+                    "n_known": pa.array(np.r_[np.add.reduceat(known, starts), np.zeros(m, np.int64)], mask=none),
                     "base": pa.array(np.r_[np.add.reduceat(base, starts), pad], mask=none),
-                    "own": pa.array(np.r_[np.add.reduceat(own, starts), pad], mask=none),
+                    "own": pa.array(np.r_[np.add.reduceat(score, starts), pad], mask=none),
                 }
             )
 
-    found = rows.select("rid", "text").mapInArrow(run, "rid bigint, w binary, n_tokens bigint, n_known bigint, base double, own double")
-    # a key that no word can be deals out the rows of the documents themselves
-    found = found.withColumn("key", F.coalesce("w", F.concat(F.lit("\n"), F.col("rid").cast("string")).cast("binary"))).drop("w")
-    rare = counts.where(F.col("c") < max(2, WORD_SHARE * n)).select(F.col("w").alias("key"), "c")
-    joined = found.join(rare.hint("shuffle_hash"), "key", "left")
-    is_rare = F.col("n_tokens").isNull()
-    c = F.coalesce("c", F.lit(0))
-    unknown = tree.unknown() if v else math.log10(0.5)
+    found = rows.select("rid", "text").mapInArrow(run, "rid bigint, g bigint, word boolean, n_tokens bigint, n_known bigint, base double, own double")
+    rare = entries.where(~is_hot).select("g", "c", (F.col("a") + F.col("b")).alias("value"))
+    joined = found.join(rare.hint("shuffle_hash"), "g", "left")
+    is_row, c = F.col("n_tokens").isNotNull(), F.coalesce("c", F.lit(0))
     each = joined.select(
         "rid",
         "n_tokens",
-        F.when(is_rare, (c > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(is_rare, F.log10(c + 0.5) - low).otherwise(F.col("base")).alias("base"),
-        F.when(is_rare & (c > 0), F.log10((c - tree.root_discount) / max(n, 1))).when(is_rare, unknown).otherwise(F.col("own")).alias("own"),
+        F.when(is_row, F.col("n_known")).otherwise((F.col("word") & (c > 0)).cast("long")).alias("n_known"),
+        F.when(is_row, F.col("base")).when(F.col("word"), F.log10(c + 0.5) - low).otherwise(0.0).alias("base"),
+        F.when(is_row, F.col("own")).otherwise(F.coalesce("value", F.when(F.col("word"), tree.unknown()).otherwise(0.0))).alias("own"),
     )
     out = each.groupBy("rid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
     return rows.select("rid", "doc_id").join(out, "rid").select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -336,6 +336,14 @@ def test_suffix_tree_is_a_distribution(docs):
         assert p.sum() + rest == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_keeps_rare_states_of_a_large_corpus(spark):
+    filler = " ".join(f"f{i % 50}" for i in range(2000))
+    data = [(i, filler) for i in range(500)] + [(500 + i, f"alpha beta x{i}") for i in range(20)]
+    asked = spark.createDataFrame([(0, "alpha beta"), (1, "beta alpha")], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["score"] for r in op07_pst.scores(asked, spark.createDataFrame(data, "doc_id bigint, text string").repartition(4)).collect()}
+    assert out[0] > out[1] + 3
+
+
 # 9: toxicity
 
 
