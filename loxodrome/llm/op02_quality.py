@@ -24,8 +24,9 @@ SYMBOLS = "#*$%&|<>"
 RISK, LEVEL = 0.05, 0.05
 #: Strata are languages, folded into so many groups, so that the table of cutoffs is bounded.
 STRATA = 256
-#: Shares of good tuning documents above the proposed cutoffs, from lenient to strict.
-TAILS = (0.0, 0.0005, 0.001, 0.002, 0.004)
+#: Shares of good tuning documents above the proposed cutoffs, in terms of a rule's risk, from lenient to strict: sixteenths up to
+#: twice the risk, then doubled up to all documents (tails_of), so that the exact test decides where a stratum stops.
+TAIL_STEPS = tuple(k / 16 for k in range(33))
 MEASURES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "mark_share", "few_kinds")
 
 
@@ -113,6 +114,14 @@ def chosen(cutoffs: list[float], rejected: list[int], n: int, risk: float, level
     return best
 
 
+def tails_of(risk: float) -> list[float]:
+    """Tails to propose cutoffs at for a rule of that risk; the last one is everything."""
+    tails = [k * risk for k in TAIL_STEPS if k * risk < 1]
+    while 2 * tails[-1] < 1:
+        tails.append(2 * tails[-1])
+    return [*tails, 1.0]
+
+
 def stratum_of():
     return F.pmod(F.crc32(F.coalesce(F.col("lang"), F.lit(""))), F.lit(STRATA)).cast("int")
 
@@ -121,15 +130,15 @@ def cutoffs_of(measured: DataFrame, labels: DataFrame, risk: float = RISK, level
     """Cutoffs by stratum, in the order of MEASURES. Only counts and quantiles of at most STRATA strata reach the driver."""
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     own = measured.join(good, "doc_id").select(stratum_of().alias("stratum"), (in_fold(folds=4) == 0).alias("tuning"), *MEASURES)
-    tails = [1 - t for t in TAILS]
-    quantiles = own.where("tuning").groupBy("stratum").agg(*[F.percentile_approx(m, tails, 20_000).alias(m) for m in MEASURES]).collect()
+    tails = tails_of(risk / len(MEASURES))
+    quantiles = own.where("tuning").groupBy("stratum").agg(*[F.percentile_approx(m, [1 - t for t in tails], 20_000).alias(m) for m in MEASURES]).collect()
     proposed = {r["stratum"]: {m: r[m] for m in MEASURES} for r in quantiles}
     if not proposed:
         return {}
     table_ = own.sparkSession.createDataFrame([(s, *[q[m] for m in MEASURES]) for s, q in proposed.items()], "stratum int, " + ", ".join(f"q_{m} array<double>" for m in MEASURES))
-    held = own.where("NOT tuning").join(F.broadcast(table_), "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(m) > F.col(f"q_{m}")[i]).alias(f"{m}_{i}") for m in MEASURES for i in range(len(TAILS))]).collect()
+    held = own.where("NOT tuning").join(F.broadcast(table_), "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(m) > F.col(f"q_{m}")[i]).alias(f"{m}_{i}") for m in MEASURES for i in range(len(tails))]).collect()
     tests = len(held) * len(MEASURES)
-    return {r["stratum"]: [chosen(proposed[r["stratum"]][m], [r[f"{m}_{i}"] for i in range(len(TAILS))], r["n"], risk / len(MEASURES), level / tests) for m in MEASURES] for r in held}
+    return {r["stratum"]: [chosen(proposed[r["stratum"]][m], [r[f"{m}_{i}"] for i in range(len(tails))], r["n"], risk / len(MEASURES), level / tests) for m in MEASURES] for r in held}
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:

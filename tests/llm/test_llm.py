@@ -305,6 +305,14 @@ def test_quality_learns_a_rule(spark):
     assert all(x["kept"] for x in none.collect())
 
 
+def test_the_exact_test_decides_where_cutoffs_stop(spark):
+    names = op02_quality.MEASURES
+    measured = spark.range(80_000).selectExpr("id AS doc_id", "'en' AS lang", f"pmod(xxhash64(id), 1000003) / 1000003D AS {names[0]}", *[f"0D AS {m}" for m in names[1:]])
+    (found,) = op02_quality.cutoffs_of(measured, spark.range(80_000).selectExpr("id AS doc_id", "1 AS quality")).values()
+    assert 1 - op02_quality.RISK / len(names) < found[0] < 0.995
+    assert op02_quality.tails_of(0.01)[-1] == 1
+
+
 # 7: language model
 
 
