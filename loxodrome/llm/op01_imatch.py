@@ -11,8 +11,8 @@ from .common import fan_out, table, written
 #: The band of document frequency, as shares of all documents; terms of fewer than LEAST_DOCS documents are outside.
 BAND = (0.0002, 0.02)
 LEAST_DOCS = 2
-#: Lexicon subsets of each level, and levels of each text.
-SUBSETS, LEVELS = 16, 2
+#: Levels of each text.
+LEVELS = 2
 #: A text's level is the binary logarithm of its length over this.
 LEVEL_CHARS = 24
 #: Lexicons of at most so many terms (16 bytes each) are broadcast. The band bounds them: terms of a share s of all
@@ -57,19 +57,25 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.unionByName(copies).withColumn("place", F.row_number().over(own)).withColumn("following", F.lead("text").over(own)).where("copy = 0").drop("copy")
 
 
+def _number(x: Column) -> Column:
+    """One number for a subset of a level."""
+    return F.call_function("shiftleft", F.lit(1), x.level) + x.subset
+
+
 def _likeness(a: str, b: str) -> Column:
     """Of two texts: equal subsets among those that either has terms of, over the levels they share; 1 for equal fingerprints."""
     low, high = F.greatest(f"{a}_level", f"{b}_level"), F.least(f"{a}_level", f"{b}_level") + LEVELS - 1
     shared = lambda s: F.filter(s, lambda x: x.level.between(low, high))
-    equal = F.size(F.array_intersect(a, b))
-    either = F.size(F.array_union(*[F.transform(shared(s), lambda x: x.level * SUBSETS + x.subset) for s in (a, b)]))
+    # numbers and not structs, which Spark would compare each with each
+    equal = F.size(F.array_intersect(*[F.transform(s, lambda x: F.xxhash64(x.level, x.subset, x.x)) for s in (a, b)]))
+    either = F.size(F.array_union(*[F.transform(shared(s), _number) for s in (a, b)]))
     return F.when(F.col(f"{a}_print") == F.col(f"{b}_print"), 1.0).when(either > 0, equal / either).otherwise(0.0)
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document's text, and their likeness.
 
-    A term of the band falls into one of 2**level random subsets of the lexicon; the first SUBSETS of them are hashed. The level
+    A term of the band falls into one of 2**level random subsets of the lexicon, and each that it has terms of is hashed. The level
     follows the length of a text, so that a subset holds about one of them; each text has LEVELS
     levels one above the other. The exclusive or of the 64-bit hashes of a subset's distinct terms stands for the hash of their sorted
     list: it is the same in whatever order the terms come. A last part hashes all distinct terms alike.
@@ -93,14 +99,14 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     found = each.join(words, each["h"] == words["t"], "left")
     # a term is in one subset of each level; the entry -1 hashes all terms, and is there for every text
     slot = lambda i: F.expr(f"cast(shiftrightunsigned(xxhash64(h, level + {i}), 8) & (shiftleft(1L, level + {i}) - 1L) AS int)")
-    places = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("subset"), F.coalesce("h", F.lit(0)).alias("x")), *[F.when(F.col("t").isNotNull() & (slot(i) < SUBSETS), F.struct((F.col("level") + i).alias("level"), slot(i).alias("subset"), F.col("t").alias("x"))) for i in range(LEVELS)])
+    places = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("subset"), F.coalesce("h", F.lit(0)).alias("x")), *[F.when(F.col("t").isNotNull(), F.struct((F.col("level") + i).alias("level"), slot(i).alias("subset"), F.col("t").alias("x"))) for i in range(LEVELS)])
     placed = found.select(*keys, *[f"{s}_level" for s in SIDES], "side", F.explode(places).alias("p")).where("p IS NOT NULL")
     keys += [f"{s}_level" for s in SIDES]
     hashed = placed.groupBy(*keys, "side", "p.level", "p.subset").agg(F.bit_xor("p.x").alias("x"))
     mine = lambda i: F.sort_array(F.collect_list(F.when((F.col("side") == i) & (F.col("level") >= 0), F.struct("level", "subset", "x"))))
     whole = lambda i: F.coalesce(F.max(F.when((F.col("side") == i) & (F.col("level") < 0), F.col("x"))), F.lit(0))
     out = hashed.groupBy(*keys).agg(*[mine(i).alias(s) for i, s in enumerate(SIDES)], *[whole(i).alias(f"{s}_all") for i, s in enumerate(SIDES)])
-    text = lambda s: F.concat_ws("-", F.lpad(F.hex(f"{s}_level"), 2, "0"), F.array_join(F.transform(s, lambda x: F.concat(F.hex(x.level * SUBSETS + x.subset), F.lit("."), F.right(F.hex(x.x), F.lit(8)))), "-"), F.lpad(F.hex(f"{s}_all"), 16, "0"))
+    text = lambda s: F.concat_ws("-", F.lpad(F.hex(f"{s}_level"), 2, "0"), F.array_join(F.transform(s, lambda x: F.concat(F.hex(_number(x)), F.lit("."), F.right(F.hex(x.x), F.lit(8)))), "-"), F.lpad(F.hex(f"{s}_all"), 16, "0"))
     out = out.select("*", *[text(s).alias(f"{s}_print") for s in SIDES])
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("own_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), _likeness("own", "edited").alias("near_edited"), _likeness("own", "following").alias("near_next"))
 

@@ -270,6 +270,13 @@ def test_fingerprints(spark, docs, rows):
     assert op01_imatch.fingerprints(twice).count() == 4
 
 
+def test_every_band_term_of_a_long_text_counts(spark):
+    own = [f"term{i}" for i in range(2000)]
+    texts = [(3, " ".join(own)), (2, " ".join([*own[:-1], "other"])), (1, f"{own[-1]} other")]
+    out = {r["doc_id"]: r["near_next"] for r in op01_imatch.fingerprints(spark.createDataFrame(texts, "doc_id bigint, text string"), band=(0.0, 1.0)).collect()}
+    assert 0.99 < out[3] < 1
+
+
 # 2: quality
 
 
