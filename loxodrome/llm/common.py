@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,37 +29,47 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only on a local master where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="loxodrome-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+#: Releases the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet into the shared scratch folder and read it back.
 
     Cuts the lineage and survives lost executors; the files go with the checkpoint folder, or earlier by discard(). The shuffle
-    files that only the write needed are released at once: Spark does that when the driver collects its garbage.
+    files that only the write needed are released when it ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def discard(table_: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more."""
-    spark = table_.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.scratch_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for one in tables:
+        jvm = one.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(one.scratch_path)
+        path.getFileSystem(one.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fan_out(df: DataFrame, parts: int | None = None) -> int:

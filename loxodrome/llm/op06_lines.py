@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, table, written
+from .common import WORD_SPACE, discard, table, written
 from .spans import confirmed_in_order, keyed, packed, unpacked
 
 LINES = 3
@@ -37,7 +37,11 @@ def _later(rows: DataFrame) -> DataFrame:
     shifted = [F.slice("h", 1 + i, F.greatest(n - LINES + 1, F.lit(0))).alias(f"l{i}") for i in range(LINES)]
     each = hashed.where(n >= LINES).select("rid", F.posexplode(F.arrays_zip(*shifted)).alias("at", "w"))
     windows = each.select("rid", F.col("at").cast("bigint").alias("at"), *[F.xxhash64(*[F.col(f"w.l{i}.{c}") for i in range(LINES)]).alias(h) for h, c in (("h1", "a"), ("h2", "b"))], F.lit(1).alias("weight"))
-    return confirmed_in_order(written(windows)).where("NOT is_first").groupBy("rid").agg(F.collect_set("at").alias("later"))
+    windows = written(windows)
+    counted, keys = confirmed_in_order(windows)
+    out = written(counted.where("NOT is_first").groupBy("rid").agg(F.collect_set("at").alias("later")))
+    discard(windows, keys)
+    return out
 
 
 def kept_lines(text: str, later) -> tuple[str, int]:
@@ -61,7 +65,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Three consecutive lines with words that were seen before (in the order of doc_id, then place) are removed, overlapping windows
     together; lines without words stay. Null texts stay null and have one line, empty ones too; documents of
     fewer than three lines with words stay whole. Repeated rows are documents of their own, in the order of the rows; an
-    empty table gives no rows. The lines of a window that a third of all documents share are counted before the shuffle.
+    empty table gives no rows. A window that a third of all
+    documents share is counted before the shuffle, and then broadcast.
     """
     rows = keyed(packed(docs))
     out = rows.join(_later(rows), "rid", "left").withColumn("cut", F.pandas_udf(_cut, "kept string, n_removed bigint")("text", "later"))

@@ -83,7 +83,10 @@ def _with_windows(docs: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def _compared(suffixes: DataFrame, window: int) -> DataFrame:
-    """Of sorted suffixes: windows (h1, rid, at, weight) to be counted (weight over 0) and repeated ones that are not first in their chain (weight 0)."""
+    """Of sorted suffixes: windows (h1, h2, rid, at, weight) to be counted, and stretches (rid, at, -words) of repeated windows that aren't the first in their chain.
+
+    A stretch has its length, below 0, for a weight: matches of neighbours are extended over all windows that the suffix owns.
+    """
 
     def run(batches):
         width = window + 1
@@ -101,34 +104,47 @@ def _compared(suffixes: DataFrame, window: int) -> DataFrame:
             grid[row, col], has[row, col] = flat, True
             same = np.zeros((n + 1, width), bool)  # the window agrees with that of the neighbour before
             same[1:n] = has[1:] & has[:-1] & (grid[1:] == grid[:-1])
+            later = np.zeros((n, width + 1), bool)
+            out: list[tuple] = []
             for c in np.flatnonzero(has.any(0)).tolist():
                 rows = np.flatnonzero(has[:, c])
-                linked = same[rows, c]
-                heads = np.flatnonzero(~linked)
+                heads = np.flatnonzero(~same[rows, c])
                 at = p[rows].astype(np.int64) + (c - window)
                 sizes = np.diff(np.r_[heads, len(rows)])
                 order = np.lexsort((at, rid[rows], np.repeat(np.arange(len(heads)), sizes)))  # within a chain by row key and place
-                weight = np.zeros(len(rows), np.int64)
-                weight[heads] = sizes
-                chosen = rows[order]
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(grid[chosen, c]), "h2": pa.array(np.full(len(rows), c, np.int64)), "rid": pa.array(rid[chosen]), "at": pa.array(at[order]), "weight": pa.array(weight)})
+                first = rows[order[heads]]
+                later[rows, c] = True
+                later[first, c] = False
+                out.append((grid[first, c], np.full(len(heads), c, np.int32), rid[first], at[order[heads]], sizes))
+            edge = np.diff(later.astype(np.int8), axis=1, prepend=0)
+            own, begin = np.nonzero(edge == 1)
+            end = np.nonzero(edge == -1)[1]
+            none = np.zeros(len(own), np.int64)
+            out.append((none, none.astype(np.int32), rid[own], p[own] + begin - window, begin - end - window + 1))
+            h1, h2, rid, at, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(h1), "h2": pa.array(h2), "rid": pa.array(rid), "at": pa.array(at.astype(np.int32)), "weight": pa.array(weight.astype(np.int32))})
 
-    return suffixes.mapInArrow(run, "h1 bigint, h2 bigint, rid bigint, at bigint, weight bigint")
+    return suffixes.mapInArrow(run, "h1 bigint, h2 int, rid bigint, at int, weight int")
 
 
 def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(rid, later, first): arrays of the spans (a, b) of windows of `window` words that occur twice or more; `docs` has rid and text."""
     found = written(_suffixes(docs, k, window))
-    ps = repeated_positions(found).groupBy("rid").agg(F.collect_list("p").alias("ps"))
-    suffixes = _with_windows(docs.select("rid", "text").join(ps, "rid").select("rid", "text", "ps"), k, window)
+    positions, counts = repeated_positions(found)
+    ps = written(positions.groupBy("rid").agg(F.collect_list("p").alias("ps")))
+    discard(found, counts)
+    # written before they are dealt to ranges, which reads them twice
+    suffixes = written(_with_windows(docs.select("rid", "text").join(ps, "rid").select("rid", "text", "ps"), k, window))
+    discard(ps)
     ordered = suffixes.repartitionByRange(fan_out(docs), "key", "rid", "p").sortWithinPartitions("key", "rid", "p")
     windows = written(_compared(ordered, window))
-    discard(found)
-    counted = confirmed_in_order(windows.where("weight > 0"))
-    later = windows.where("weight = 0").select("rid", "at", F.lit(False).alias("is_first"))
-    spans = counted.unionByName(later).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"), "is_first")
+    discard(suffixes)
+    counted, keys = confirmed_in_order(windows.where("weight > 0"))
+    counted = counted.select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"), "is_first")
+    later = windows.where("weight < 0").select("rid", F.col("at").alias("a"), (F.col("at") - F.col("weight")).alias("b"), F.lit(False).alias("is_first"))
+    spans = counted.unionByName(later)
     out = written(spans.groupBy("rid").agg(F.collect_list(F.when(~F.col("is_first"), F.struct("a", "b"))).alias("later"), F.collect_list(F.when(F.col("is_first"), F.struct("a", "b"))).alias("first")))
-    discard(windows)
+    discard(windows, keys)
     return out
 
 

@@ -2,9 +2,10 @@
 
 Nodes are the k-mers that own a window (see Minimisers); an edge is the stretch of text from one owner to the next, known by
 its words. An edge that occurs twice or more, always followed by the same edge that in turn always follows it, is no
-branch, and the two compact into one path; a compacted path occurs as a whole wherever it occurs. Windows inside it
-are repeated without further counting, and only its first occurrence sends them on. All other windows with a
-repeated owner are counted by their words at their source coordinates.
+branch. Such links compact into paths by joins that double the distance of each edge's pointer until it reaches the head of its
+path. A path occurs as a whole wherever its head does, so the head's source coordinates and the path's length give
+the repeated spans. Windows inside them are not counted any further, but for those of the first occurrence whose owner is also
+found elsewhere. All other windows with a repeated owner are counted by their words at their source coordinates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, slices, table, words_of, written
-from .spans import Minimisers, confirmed, keyed, merged, mixed, repeated_positions
+from .spans import Minimisers, confirmed, joined, keyed, merged, mixed, repeated_positions
 
 K, WINDOW = 12, 35
 
@@ -61,83 +62,103 @@ def _occurrences(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "nh bigint, eh bigint, rid bigint, p int, q int")
 
 
-def _compacted(kept: DataFrame) -> DataFrame:
-    """Repeated edges (eh, first occurrence, occurrences, whether it compacts with the edge after it)."""
+def _links(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: repeated edges (eh, n, w words long, first occurrence), and (eh, ptr, dist): the one edge before an edge, where both belong to one unbranched path."""
     edges = kept.where("eh IS NOT NULL")
-    out = edges.groupBy("eh").agg(F.count("*").alias("n"), F.min("next_eh").alias("n0"), F.max("next_eh").alias("n1"), F.count("next_eh").alias("n_next"), F.min(F.struct("rid", "p")).alias("first")).where("n > 1")
+    first = F.min(F.struct("rid", "p")).alias("first")
+    out = edges.groupBy("eh").agg(F.count("*").alias("n"), F.max(F.col("q") - F.col("p")).alias("w"), F.min("next_eh").alias("n0"), F.max("next_eh").alias("n1"), F.count("next_eh").alias("n_next"), first).where("n > 1")
     back = edges.where("next_eh IS NOT NULL").groupBy(F.col("next_eh").alias("eh")).agg(F.min("eh").alias("p0"), F.max("eh").alias("p1"), F.count("*").alias("n_prev"))
     stats = written(out.join(back, "eh", "left"))
-    ahead = stats.where("n0 = n1 AND n_next = n").select("eh", F.col("n0").alias("after"))
-    behind = stats.where("p0 = p1 AND n_prev = n").select(F.col("eh").alias("after"), F.col("p0").alias("before"))
-    links = ahead.join(behind, "after").where("before = eh").select("eh", F.lit(True).alias("linked"))
-    return stats.select("eh", "first", "n").join(links, "eh", "left").select("eh", "first", "n", F.coalesce("linked", F.lit(False)).alias("linked"))
+    ahead = stats.where("n0 = n1 AND n_next = n").select(F.col("eh").alias("ptr"), F.col("n0").alias("eh"), F.col("w").cast("bigint").alias("dist"))
+    behind = stats.where("p0 = p1 AND n_prev = n").select("eh", "p0")
+    return stats, written(ahead.join(behind, "eh").where("p0 = ptr").select("eh", "ptr", "dist", F.lit(True).alias("moved")))
+
+
+def _compacted(kept: DataFrame) -> DataFrame:
+    """Written table (eh, n, words, first): of each repeated edge the occurrences and words of its path and, at the path's head alone, its first occurrence.
+
+    Every round joins the pointers with themselves, so they double in distance: a path of m edges takes log2(m) rounds. A
+    path has no cycle, as its last edge in a text is followed by nothing.
+    """
+    stats, now = _links(kept)
+    while now.where("moved").limit(1).count():
+        ahead = now.select(F.col("eh").alias("ptr"), F.col("ptr").alias("to"), F.col("dist").alias("more"))
+        jumped = now.join(ahead, "ptr", "left").select("eh", F.coalesce("to", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("to").isNotNull().alias("moved"))
+        last, now = now, written(jumped)
+        discard(last)
+    head = F.coalesce("ptr", "eh").alias("head")
+    members = written(stats.join(now.select("eh", "ptr", "dist"), "eh", "left").select("eh", "n", head, (F.coalesce("dist", F.lit(0)) + F.col("w")).alias("upto"), F.when(F.col("ptr").isNull(), F.col("first")).alias("first")))
+    discard(stats, now)
+    length = members.groupBy("head").agg(F.max("upto").cast("int").alias("words"), F.count("*").alias("edges"))
+    sized = written(length)
+    out = written(joined(members, sized, ["head"], "edges").select("eh", "n", "words", "first"))
+    discard(members, sized)
+    return out
 
 
 def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(rid, spans): arrays of the spans (a, b) of words covered by windows of `window` words that occur twice or more; `docs` has rid and text."""
     found = written(_occurrences(docs, k, window))
-    kept = repeated_positions(found)
+    positions, counts = repeated_positions(found)
     ahead = Window.partitionBy("rid").orderBy("p")
     follows = F.lead("p").over(ahead) == F.col("q")
-    kept = kept.withColumn("next_eh", F.when(follows, F.lead("eh").over(ahead))).withColumn("eh", F.when(follows, F.col("eh")))
+    kept = positions.withColumn("next_eh", F.when(follows, F.lead("eh").over(ahead))).withColumn("eh", F.when(follows, F.col("eh")))
     kept = written(kept.select("rid", "p", "q", "eh", "next_eh", "nodes"))
-    discard(found)
+    discard(found, counts)
     edges = _compacted(kept)
-    # 1: a repeated edge, 2: it compacts with the next, 4: its first occurrence, 8: its start owns windows elsewhere, too
-    state = F.when(F.col("first").isNull(), 0).otherwise(1 + 2 * F.col("linked").cast("int") + 4 * ((F.col("first.rid") == F.col("rid")) & (F.col("first.p") == F.col("p"))).cast("int") + 8 * (F.col("nodes") > F.col("n")).cast("int"))
-    per_doc = kept.join(edges, "eh", "left").select("rid", "p", "q", state.alias("state")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "q", "state"))).alias("owners"))
+    # an edge of a path as long as a window; `words` at the path's head; `closed`: its start owns windows nowhere but on this path
+    known = edges.where(F.col("words") + k >= window).withColumn("words", F.col("words") + k)
+    on_path = joined(kept.where("eh IS NOT NULL").select("rid", "p", "eh", "nodes"), known, ["eh"])
+    is_first = (F.col("first.rid") == F.col("rid")) & (F.col("first.p") == F.col("p"))
+    on_path = on_path.select("rid", "p", F.when(F.col("first").isNotNull(), F.col("words")).otherwise(0).alias("words"), F.coalesce(is_first, F.lit(False)).alias("is_first"), (F.col("nodes") <= F.col("n")).alias("closed"))
+    off_path = kept.select("rid", "p", F.lit(0).alias("words"), F.lit(False).alias("is_first"), F.lit(False).alias("closed"))
+    owners = written(on_path.unionByName(off_path).groupBy("rid").agg(*[F.collect_list(c).alias(c) for c in ("p", "words", "is_first", "closed")]))
+    discard(kept, edges)
 
     def run(batches):
         for part in slices(batches):
             m = Minimisers(part["text"], k, window)
             h1 = m.rolling.stretch(m.window_at, m.window_at + window)
+            sizes = [len(x) for x in part["p"]]
+            flat = lambda c, t: np.fromiter((x for own in part[c] for x in own), t, sum(sizes))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            p, length, is_first = flat("p", np.int64), flat("words", np.int64), flat("is_first", bool)
             owned, closed = np.zeros(len(m.hashes) + 1, bool), np.zeros(len(m.hashes) + 1, bool)
-            known = np.zeros(len(m.hashes) + 1, np.int8)  # windows inside a path: 1, at the path's first occurrence 2
-            paths: list[tuple[int, int, int]] = []
-            for i, (start, owners) in enumerate(zip(m.starts.tolist(), part["owners"], strict=True)):
-                owned[[start + o["p"] for o in owners]] = True
-                at = 0
-                while at < len(owners):
-                    o = owners[at]
-                    if not o["state"] & 1:
-                        at += 1
-                        continue
-                    a, first, end, count = o["p"], bool(o["state"] & 4), o["q"], at
-                    while o["state"] & 2 and at + 1 < len(owners) and owners[at + 1]["p"] == o["q"] and owners[at + 1]["state"] & 1:
-                        at += 1
-                        o = owners[at]
-                        end = o["q"]
-                    at += 1
-                    b = end + k
-                    if b - a >= window:
-                        paths.append((i, a, b))
-                        known[start + a : start + b - window + 1] = np.maximum(known[start + a : start + b - window + 1], 2 if first else 1)
-                        # an owner that is nowhere but on this path owns no window elsewhere; its windows needn't be counted
-                        closed[[start + x["p"] for x in owners[count:at] if not x["state"] & 8]] = True
-            take = owned[m.owner] & (known[m.window_at] != 1) & ~((known[m.window_at] == 2) & closed[m.owner])
+            owned[m.starts[of] + p] = True
+            closed[(m.starts[of] + p)[flat("closed", bool)]] = True
+            heads = np.flatnonzero(length)
+            begin = m.starts[of[heads]] + p[heads]
+            inside = []  # windows inside a path, and those inside a path's first occurrence
+            for some in (np.ones(len(heads), bool), is_first[heads]):
+                edge = np.zeros(len(m.hashes) + 2, np.int64)
+                np.add.at(edge, begin[some], 1)
+                np.add.at(edge, begin[some] + length[heads][some] - window + 1, -1)
+                inside.append(np.cumsum(edge)[m.window_at] > 0)
+            known, first = inside
+            take = owned[m.owner] & (~known | (first & ~closed[m.owner]))
             at = m.window_at[take]
-            weight = np.where(known[at] == 2, 2, 1)
+            weight = np.where(first[take], 2, 1)
             rid = np.array(part["rid"], np.int64)
             doc = m.doc[at]
             h2 = mixed(h1[take] + m.hashes[at] * np.uint64(3) + m.hashes[at + window - 1] * np.uint64(5) + m.hashes[at + window // 2])
-            spans = np.array(paths, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h1": pa.array(np.r_[h1[take].view(np.int64), np.zeros(len(spans), np.int64)]),
-                    "h2": pa.array(np.r_[(h2 >> np.uint64(33)).astype(np.int32), np.zeros(len(spans), np.int32)]),
-                    "rid": pa.array(np.r_[rid[doc], rid[spans[:, 0]]]),
-                    "at": pa.array(np.r_[at - m.starts[doc], spans[:, 1]].astype(np.int32)),
-                    "weight": pa.array(np.r_[weight, spans[:, 1] - spans[:, 2]].astype(np.int32)),
+                    "h1": pa.array(np.r_[h1[take].view(np.int64), np.zeros(len(heads), np.int64)]),
+                    "h2": pa.array(np.r_[(h2 >> np.uint64(33)).astype(np.int32), np.zeros(len(heads), np.int32)]),
+                    "rid": pa.array(np.r_[rid[doc], rid[of[heads]]]),
+                    "at": pa.array(np.r_[at - m.starts[doc], p[heads]].astype(np.int32)),
+                    "weight": pa.array(np.r_[weight, -length[heads]].astype(np.int32)),
                 }
             )
 
     # a weight below 0 is the length of a path, of words known to repeat
-    windows = written(docs.select("rid", "text").join(per_doc, "rid").mapInArrow(run, "h1 bigint, h2 int, rid bigint, at int, weight int"))
-    discard(kept)
-    counted = confirmed(windows.where("weight > 0")).select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    windows = written(docs.select("rid", "text").join(owners, "rid").mapInArrow(run, "h1 bigint, h2 int, rid bigint, at int, weight int"))
+    discard(owners)
+    counted, keys = confirmed(windows.where("weight > 0"))
+    counted = counted.select("rid", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
     spans = counted.unionByName(windows.where("weight < 0").select("rid", F.col("at").alias("a"), (F.col("at") - F.col("weight")).alias("b")))
     out = written(spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    discard(windows)
+    discard(windows, keys)
     return out
 
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fan_out, written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -111,11 +111,16 @@ class Minimisers:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with `rid`, a key of the row: doc_id where it is a key, else the row's number in a written copy."""
+    """`docs` with `rid`, a key of the row that is ordered like doc_id.
+
+    That is doc_id itself where it is a key. Where ids repeat or lack, it is the row's number in a written copy, ordered by
+    doc_id (none last) and then by a hash of the text, so that it doesn't depend on how the rows are stored.
+    """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
-        return written(docs.withColumn("rid", F.monotonically_increasing_id()))
-    return docs.withColumn("rid", F.col("doc_id"))
+    if not ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
+        return docs.withColumn("rid", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return written(docs.repartitionByRange(fan_out(docs), *order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -139,28 +144,46 @@ def unpacked(rows: DataFrame, like: DataFrame, text, changed) -> DataFrame:
     return rows.select(*out)
 
 
-def repeated_positions(found: DataFrame) -> DataFrame:
-    """Rows of `found` whose k-mer `nh` occurs more than once, with its count `nodes`.
+def joined(rows: DataFrame, sized: DataFrame, on: list[str], most: str = "n") -> DataFrame:
+    """Inner join of `rows` with `sized`, a written table of distinct keys with the number of their rows in the column `most`.
+
+    Keys with more rows than a quarter of a task's share, at most four for each task, are broadcast, so that their rows stay where
+    they are; all others are shuffled.
+    """
+    parts = fan_out(rows)
+    total = sized.agg(F.sum(most)).first()[0] or 0
+    hot = sized.where(F.col(most) > max(1000, total // (4 * parts)))
+    if not hot.limit(1).count():
+        return rows.join(sized, on)
+    here = rows.join(F.broadcast(hot), on)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(sized.where(F.col(most) <= max(1000, total // (4 * parts))), on)
+    return here.unionByName(cold)
+
+
+def repeated_positions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of `found`, a written table, whose k-mer `nh` occurs more than once, with its count `nodes`; and the written table of those counts.
 
-    Counts are combined before the shuffle; a k-mer that a third of all rows share makes a skewed join, split at run time.
+    Counts are combined before the shuffle, and k-mers that many rows share are broadcast.
     """
-    repeated = found.groupBy("nh").agg(F.count("*").alias("nodes")).where("nodes > 1")
-    return found.join(repeated, "nh")
+    counts = written(found.groupBy("nh").agg(F.count("*").alias("nodes")).where("nodes > 1"))
+    return joined(found, counts, ["nh"], "nodes"), counts
 
 
-def confirmed(windows: DataFrame) -> DataFrame:
-    """From rows (h1, h2, rid, at, weight): the rows (rid, at) of windows with a joint weight over 1.
+def confirmed(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (h1, h2, rid, at, weight): the rows (rid, at) of windows with a joint weight over 1; and the written table of those.
 
     A row stands for `weight` occurrences. `windows` has to be a written table, as it is read twice.
     """
-    keys = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
-    return windows.join(keys, ["h1", "h2"]).select("rid", "at")
+    keys = written(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where("w > 1").drop("w"))
+    return joined(windows, keys, ["h1", "h2"]).select("rid", "at"), keys
 
 
-def confirmed_in_order(windows: DataFrame) -> DataFrame:
+def confirmed_in_order(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same with `is_first`: whether the row is the first of its window, by rid and place."""
-    keys = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.min("rid").alias("r0"), F.min_by("at", F.struct("rid", "at")).alias("p0")).where("w > 1").drop("w")
-    return windows.join(keys, ["h1", "h2"]).select("rid", "at", ((F.col("rid") == F.col("r0")) & (F.col("at") == F.col("p0"))).alias("is_first"))
+    first = F.min(F.struct("rid", "at")).alias("first")
+    keys = written(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.count("*").alias("n"), first).where("w > 1").drop("w"))
+    out = joined(windows, keys, ["h1", "h2"])
+    return out.select("rid", "at", ((F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))).alias("is_first")), keys
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
