@@ -96,5 +96,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text") -> Iter
 
 
 def in_fold(column: str = "doc_id", folds: int = 5):
-    """crc32 of the id as text, modulo the number of folds."""
-    return F.crc32(F.col(column).cast("string")) % folds
+    """crc32 of the id as text (empty where there is none), modulo the number of folds."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds

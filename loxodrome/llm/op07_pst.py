@@ -1,16 +1,21 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's root is a smoothed distribution of words. A context of one or more preceding words becomes a state if it is frequent
-enough and if the words after it are distributed otherwise than after its own suffix (a divergence test). A word's probability
-is taken in the longest suffix of its past that is a state; what a state hasn't seen often enough it leaves to its
-suffix. The least counts are the same for any size of corpus, so the number of states grows with it: states and the words after
-them are written tables, joined by the hashes of word sequences. Workers hold the most frequent entries and a bit filter of all of them, both bounded;
-these save rows of the joins and don't change results.
+The tree's root is a smoothed distribution of words. A context of one to DEPTH preceding words becomes a state if the words after it
+are distributed otherwise than after its own suffix (a divergence test; where the suffix was always followed by one
+word, so is the context, which then is no state). A word's probability is taken in the longest
+suffix of its past that is a state; what a state hasn't seen often enough it leaves to its suffix. Counts are exact, and a
+context takes part from its second occurrence on, at any size of corpus, so states grow with it: states and the words after them are
+written tables.
+
+Scoring looks sequences up in those tables: a slice of texts asks each bucket of the tables once for every distinct sequence, and
+the answers come back to the slice's plan. Workers hold the most frequent entries and a bit filter of all longer ones,
+both bounded; these save lookups and don't change results.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 from functools import cached_property
 
@@ -23,15 +28,16 @@ from .common import discard, fan_out, in_fold, slices, table, written
 from .spans import _MEMO, keyed, mixed
 
 ORACLE_SQL = None
-DEPTH = 2
+#: The longest contexts, in words.
+DEPTH = 4
 #: Least counts of a context and of a context with the word after it.
-CONTEXT_COUNT, PAIR_COUNT = 10, 2
-#: Entries of at least this share of the training tokens are held by workers; all others are joined.
+CONTEXT_COUNT, PAIR_COUNT = 2, 2
+#: Entries of at least this share of the training tokens are held by workers; all others are looked up.
 HOT_SHARE = 2e-6
-#: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); a fuller filter only lets more rows through to the join.
+#: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); a fuller filter only lets more lookups through.
 FILTER_BITS, MOST_BITS = 16, 27
-#: Training tokens for each bucket of the counting.
-BUCKET_TOKENS = 1_000_000
+#: Training tokens for each bucket of the counting, and entries for each bucket of the lookups.
+BUCKET_TOKENS, BUCKET_ENTRIES = 1_000_000, 250_000
 #: Least divergence (nats) of a state from its suffix, and the count that is left over from each stored word.
 LEAST_DIVERGENCE, DISCOUNT = 0.01, 0.5
 END = b""
@@ -173,30 +179,32 @@ def followers(docs: DataFrame, bits: np.ndarray, length: int, tokens: int) -> Da
 
 
 def grown(docs: DataFrame, before: DataFrame, length: int, tokens: int) -> tuple[DataFrame, DataFrame] | None:
-    """The next level, None where no context is frequent enough: the sequences (g, c, r, a) of its contexts with a word, and its states (g, c, b).
+    """The next level, None where no context is left: written tables of the sequences (g, c, r, a, open) of its contexts with a word, and of its contexts (g, c, b, open).
 
-    `before` has (g, c, r) of the level before, r being the probability of the last word after the others. `a` is what a state
-    adds to log10 r of its suffix, b the log10 of what it leaves to it; a sequence whose context is no state adds nothing.
+    `before` has (g, c, r, open) of the level before, r being the probability of the last word after the others. `a` is what a state
+    adds to log10 r of its suffix, b the log10 of what it leaves to it; both are null where the context is no state. `open` sequences may be
+    contexts of the next level: their suffix was followed by different words.
     """
-    bits = filter_of(before.where(F.col("c") >= CONTEXT_COUNT))
+    bits = filter_of(before.where((F.col("c") >= CONTEXT_COUNT) & F.col("open")))
     if bits is None:
         return None
     pairs = written(followers(docs, bits, length, tokens))
     parents = before.select(F.col("g").alias("up"), F.col("r").alias("q"))
-    totals = before.where(F.col("c") >= CONTEXT_COUNT).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
-    seen = written(pairs.join(parents, "up").join(totals, "ctx").select("g", "ctx", "c", "q", "total"))
+    totals = before.where((F.col("c") >= CONTEXT_COUNT) & F.col("open")).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
+    seen = written(pairs.join(parents, "up").join(totals, "ctx").select("g", "ctx", "up", "c", "q", "total"))
     discard(pairs)
     own, p = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total")
     least = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
-    each = seen.groupBy("ctx").agg(F.max("total").alias("c"), F.sum(own * F.log(own / F.col("q"))).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"))
-    kept = each.where(F.col("d") + F.col("rest") * F.log(F.col("rest") / F.col("rest_q")) >= LEAST_DIVERGENCE)
-    states = written(kept.select(F.col("ctx").alias("g"), "c", F.log10("left").alias("b")))
-    left = states.select(F.col("g").alias("ctx"), "b")
+    each = seen.groupBy("ctx").agg(F.max("total").alias("total"), F.max("c").alias("top"), F.sum(own * F.log(own / F.col("q"))).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"))
+    is_state = F.col("d") + F.col("rest") * F.log(F.col("rest") / F.col("rest_q")) >= LEAST_DIVERGENCE
+    contexts = written(each.select(F.col("ctx").alias("g"), F.col("total").alias("c"), F.when(is_state, F.log10("left")).alias("b"), (F.col("top") < F.col("total")).alias("open")))
+    left = contexts.select(F.col("g").alias("ctx"), "b")
+    varied = contexts.where("open").select(F.col("g").alias("up"), "open")
     r = F.when(F.col("b").isNull(), F.col("q")).otherwise(p + F.pow(F.lit(10.0), "b") * F.col("q"))
-    level = seen.join(left, "ctx", "left").withColumn("r", r)
-    level = written(level.select("g", "c", "r", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")).alias("a")))
+    level = seen.join(left, "ctx").join(varied, "up", "left").withColumn("r", r)
+    level = written(level.select("g", "c", "r", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")).alias("a"), F.coalesce("open", F.lit(False)).alias("open")))
     discard(seen)
-    return level, states
+    return level, contexts
 
 
 class Tree:
@@ -209,7 +217,7 @@ class Tree:
     def __init__(self, n: int, v: int, n1: int, n2: int):
         self.n, self.v = max(n, 1), v
         self.root_discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        self.contexts: list[DataFrame] = []  # by length: the states
+        self.contexts: list[int] = []  # by length: the number of states
         self.entries: DataFrame | None = None
 
     def unknown(self) -> float:
@@ -244,7 +252,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of `docs` and the written table of its entries."""
     counts = written(unigrams(docs))
     tree = Tree(*(int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()))
-    before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n)
+    before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n).withColumn("open", F.lit(True))
     zero = F.lit(0.0)
     parts = [before.select("g", F.lit(1).alias("words"), "c", F.log10("r").alias("a"), zero.alias("b"))]
     tables = [counts]
@@ -252,37 +260,42 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
         found = grown(docs, before, length, tree.n)
         if found is None:
             break
-        before, states = found
+        before, contexts = found
         tables += found
-        tree.contexts.append(states)
+        states = contexts.where("b IS NOT NULL")
+        tree.contexts.append(states.count())
         parts.append(before.where("a IS NOT NULL").select("g", F.lit(length + 1).alias("words"), "c", "a", zero.alias("b")))
         parts.append(states.select("g", F.lit(length).alias("words"), "c", zero.alias("a"), "b"))
     together = parts[0]
     for part in parts[1:]:
         together = together.unionAll(part)
     tree.entries = written(together.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b")))
-    for done in tables:
-        if not any(done is states for states in tree.contexts):
-            discard(done)
+    discard(*tables)
     return tree, tree.entries
 
 
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string."""
+    raw = b"".join([np.array([x.nbytes for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    A null or empty text is one token, its end. Repeated rows are scored alike; without training rows every token is unknown and
-    probabilities come from the smoothing alone; an empty table gives no rows; other columns are not read. Entries of the tree that workers
-    don't hold are looked up in its table by a shuffled join.
+
+def _arrays(blob: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    ends = np.cumsum(np.r_[8 * len(types), np.frombuffer(raw, np.int64, len(types))])
+    return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), types, strict=True)]
+
+
+_PLAN = ("i8", "i8", "i8", "f8", "f8", "i4", "i4", "u4", "u4")
+
+
+def _asked(rows: DataFrame, held: tuple, deepest: int, low: float, buckets: int) -> DataFrame:
+    """Rows (batch, bucket, blob) of slices of texts: what a slice asks each bucket (distinct sequences), and under bucket -1 its plan.
+
+    A plan has of each text its key, tokens, known tokens and the two sums as far as workers know them, the numbers of its lookups of words and of
+    longer sequences, and then the lookups as places among all distinct sequences of the slice.
     """
-    tree, entries = learn(training.select("text"))
-    n, v = tree.n if tree.v else 0, tree.v
-    rows = keyed(docs.select("doc_id", "text"))
-    low = math.log10(n + 0.5 * (v + 1))
-    is_hot = F.col("c") >= max(2, HOT_SHARE * n)
-    hot = entries.where(is_hot).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
-    own = tuple(hot[k].to_numpy() for k in ("g", "c", "value"))
-    shared = docs.sparkSession.sparkContext.broadcast((*own, filter_of(entries.where("words > 1"))))
-    deepest = len(tree.contexts) + 1
+    shared = rows.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
         own, counts, values, bits = shared.value
@@ -290,7 +303,7 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
         for part in slices(batches):
             grams, lengths, place = hashes_of(part["text"])
             starts = np.cumsum(lengths) - lengths
-            of = np.repeat(np.arange(len(lengths)), lengths)
+            of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             score, base, known = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), np.int64)
             cold, cold_of = [], []
             for length in range(1, deepest + 1):
@@ -299,45 +312,94 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
                     at = np.flatnonzero((place[length - 1 :] >= length - 1) & passes(bits, grams)) if bits is not None else np.zeros(0, np.int64)
                 else:
                     at = np.arange(len(grams))
-                asked, to = grams[at].view(np.int64), at + length - 1
+                wanted, to = grams[at].view(np.int64), at + length - 1
                 if len(own):
-                    found = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-                    has = own[found] == asked
+                    found = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                    has = own[found] == wanted
                     score[to[has]] += values[found[has]]
                     if length == 1:
                         base[has], known[has] = base_of[found[has]], 1
-                    asked, to = asked[~has], to[~has]
-                cold.append(asked)
+                    wanted, to = wanted[~has], to[~has]
+                cold.append(wanted)
                 cold_of.append(of[to])
-            rid = np.array(part["rid"], np.int64)
-            words, cold, cold_of = len(cold[0]), np.concatenate(cold), np.concatenate(cold_of)
-            k, m = len(rid), len(cold)
-            none, pad = np.r_[np.zeros(k, bool), np.ones(m, bool)], np.zeros(m)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "rid": pa.array(np.r_[rid, rid[cold_of]]),
-                    # rows of the documents themselves are dealt out by a key of their own
-                    "g": pa.array(np.r_[mixed(rid.view(np.uint64)).view(np.int64), cold]),
-                    "word": pa.array(np.arange(k + m) < k + words),
-                    "n_tokens": pa.array(np.r_[lengths, np.zeros(m, np.int64)], mask=none),
-                    "n_known": pa.array(np.r_[np.add.reduceat(known, starts), np.zeros(m, np.int64)], mask=none),
-                    "base": pa.array(np.r_[np.add.reduceat(base, starts), pad], mask=none),
-                    "own": pa.array(np.r_[np.add.reduceat(score, starts), pad], mask=none),
-                }
-            )
-
-    found = rows.select("rid", "text").mapInArrow(run, "rid bigint, g bigint, word boolean, n_tokens bigint, n_known bigint, base double, own double")
-    rare = entries.where(~is_hot).select("g", "c", (F.col("a") + F.col("b")).alias("value"))
-    joined = found.join(rare.hint("shuffle_hash"), "g", "left")
-    is_row, c = F.col("n_tokens").isNotNull(), F.coalesce("c", F.lit(0))
-    each = joined.select(
-        "rid",
-        "n_tokens",
-        F.when(is_row, F.col("n_known")).otherwise((F.col("word") & (c > 0)).cast("long")).alias("n_known"),
-        F.when(is_row, F.col("base")).when(F.col("word"), F.log10(c + 0.5) - low).otherwise(0.0).alias("base"),
-        F.when(is_row, F.col("own")).otherwise(F.coalesce("value", F.when(F.col("word"), tree.unknown()).otherwise(0.0))).alias("own"),
-    )
-    out = each.groupBy("rid").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("own").alias("score"))
+            distinct, at = np.unique(np.concatenate(cold), return_inverse=True)
+            bucket = distinct % buckets
+            order = np.argsort(bucket, kind="stable")
+            places = np.empty(len(order), np.uint32)
+            places[order] = np.arange(len(order), dtype=np.uint32)
+            places = places[at]
+            words, n = len(cold[0]), len(lengths)
+            further = np.concatenate(cold_of[1:]) if len(cold) > 1 else np.zeros(0, np.int32)
+            by_text = np.argsort(further, kind="stable")
+            sums = [np.add.reduceat(x, starts) for x in (known, base, score)]
+            plan = _blob(np.array(part["rid"], np.int64), lengths, *sums, np.bincount(cold_of[0], minlength=n).astype(np.int32), np.bincount(further, minlength=n).astype(np.int32), places[:words], places[words:][by_text])
+            distinct, bucket = distinct[order], bucket[order]
+            edges = np.flatnonzero(np.r_[True, np.diff(bucket) > 0, True]) if len(bucket) else np.zeros(1, np.int64)
+            blobs = [distinct[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            batch = int.from_bytes(os.urandom(8), "little", signed=True)
+            yield pa.RecordBatch.from_pydict({"batch": pa.array([batch] * (len(blobs) + 1), pa.int64()), "bucket": pa.array([-1, *bucket[edges[:-1]].tolist()], pa.int64()), "blob": pa.array([plan, *blobs], pa.binary())})
+
+    return rows.select("rid", "text").mapInArrow(run, "batch bigint, bucket bigint, blob binary")
+
+
+def _answered(asked: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
+    """Answers (batch, bucket, blob) to what is asked: count (of words; 0 for what is unknown) and value of each sequence, in the order of the question."""
+    value = (F.col("a") + F.col("b")).alias("value")
+    known = entries.select(F.expr(f"pmod(g, {buckets}L)").alias("bucket"), "g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), value)
+
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        own, counts, values = (known[c].to_numpy() for c in ("g", "c", "value"))
+        order = np.argsort(own)
+        own, counts, values = own[order], counts[order], values[order]
+        blobs = []
+        for blob in asks["blob"].to_pylist():
+            wanted = np.frombuffer(blob, np.int64)
+            if not len(own):
+                blobs.append(_blob(np.zeros(len(wanted), np.int64), np.full(len(wanted), np.nan)))
+                continue
+            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            has = own[at] == wanted
+            blobs.append(_blob(np.where(has, counts[at], 0), np.where(has, values[at], np.nan)))
+        return pa.table({"batch": asks["batch"], "bucket": asks["bucket"], "blob": pa.array(blobs, pa.binary())})
+
+    return asked.where("bucket >= 0").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "batch bigint, bucket bigint, blob binary")
+
+
+def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
+
+    A null or empty text is one token, its end. Repeated rows are scored alike; without training rows every token is unknown and
+    probabilities come from the smoothing alone; an empty table gives no rows; other columns are not read. Entries of the tree that workers
+    don't hold are looked up in its table by buckets of their hash.
+    """
+    tree, entries = learn(training.select("text"))
+    n, v = tree.n if tree.v else 0, tree.v
+    rows = keyed(docs.select("doc_id", "text"))
+    low, unknown = math.log10(n + 0.5 * (v + 1)), tree.unknown()
+    buckets = max(fan_out(docs), entries.count() // BUCKET_ENTRIES + 1)
+    hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
+    held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
+    asked = written(_asked(rows, held, len(tree.contexts) + 1, low, buckets))
+    answers = written(_answered(asked, entries, buckets))
+    discard(entries)
+
+    def total(own: pa.Table) -> pa.Table:
+        blobs = dict(zip(own["bucket"].to_pylist(), own["blob"].to_pylist(), strict=True))
+        rid, tokens, known, base, score, n_words, n_longer, words, further = _arrays(blobs.pop(-1), *_PLAN)
+        got = [_arrays(blobs[b], "i8", "f8") for b in sorted(blobs)]
+        counts, values = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
+        known, base, score = known.copy(), base.copy(), score.copy()
+        for places, of, rest in ((words, n_words, unknown), (further, n_longer, 0.0)):
+            of = np.repeat(np.arange(len(rid)), of)
+            value = values[places]
+            score += np.bincount(of, np.where(np.isnan(value), rest, value), len(rid))
+            if places is words:
+                base += np.bincount(of, np.log10(counts[places] + 0.5) - low, len(rid))
+                known += np.bincount(of, counts[places] > 0, len(rid)).astype(np.int64)
+        return pa.table({"rid": pa.array(rid), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
+
+    plans = asked.where("bucket < 0").unionByName(answers)
+    out = plans.groupBy("batch").applyInArrow(total, "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return rows.select("rid", "doc_id").join(out, "rid").select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -359,6 +360,59 @@ def test_suffix_tree_keeps_rare_states_of_a_large_corpus(spark):
     assert out[0] > out[1] + 3
 
 
+def brute_score(tokens, i, train, depth):
+    """log10 probability of token i by the definition: recursive, over exact counts of all training sequences."""
+    n, v, n1, n2, counts = train
+    root = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    @functools.cache
+    def follow(ctx):
+        return {s[-1]: c for s, c in counts.items() if len(s) == len(ctx) + 1 and s[:-1] == ctx and c >= 2}
+
+    def varied(ctx):
+        seen = follow(ctx)
+        return bool(seen) and max(seen.values()) < counts[ctx] and (len(ctx) == 1 or varied(ctx[1:]))
+
+    @functools.cache
+    def state(ctx):
+        """What a state leaves to its suffix, None where the context is none."""
+        total, seen = counts.get(ctx, 0), follow(ctx)
+        if total < 2 or not seen or (len(ctx) > 1 and not varied(ctx[1:])):
+            return None
+        d, rest, rest_q = 0.0, 1.0, 1.0
+        for w, c in seen.items():
+            q = p(w, ctx[1:])
+            d += c / total * math.log(c / total / q)
+            rest, rest_q = rest - c / total, rest_q - q
+        rest, rest_q = max(rest, 1e-12), max(rest_q, 1e-12)
+        return max(1 - sum((c - 0.5) / total for c in seen.values()), 1e-12) if d + rest * math.log(rest / rest_q) >= op07_pst.LEAST_DIVERGENCE else None
+
+    def p(w, ctx):
+        if not ctx:
+            return (counts[(w,)] - root) / n if (w,) in counts else root * v / n
+        left = state(ctx)
+        if left is None:
+            return p(w, ctx[1:])
+        return (follow(ctx)[w] - 0.5) / counts[ctx] + left * p(w, ctx[1:]) if w in follow(ctx) else left * p(w, ctx[1:])
+
+    return math.log10(p(tokens[i], tuple(tokens[max(0, i - depth) : i])))
+
+
+def test_suffix_tree_scores_equal_the_definition(spark):
+    r = random.Random(6)
+    phrase = r.choices("abcdef", k=12)
+    data = [(i, " ".join([*r.choices("abcdefgh", k=r.randint(0, 12)), *phrase[: r.randint(0, 12)]])) for i in range(40)] + [(40, None), (41, "a b zz a b"), (41, "a b zz a b")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    train = [(t or "").split() + [""] for i, t in data if i % 4]
+    counts = Counter(tuple(own[a : a + k]) for own in train for k in range(1, 6) for a in range(len(own) - k + 1))
+    single = [c for s, c in counts.items() if len(s) == 1]
+    stats = (sum(single), len(single), single.count(1), single.count(2), counts)
+    out = {x["doc_id"]: x["score"] for x in op07_pst.scores(docs, docs.where("doc_id % 4 <> 0")).collect()}
+    for i, t in data:
+        own = (t or "").split() + [""]
+        assert out[i] == pytest.approx(sum(brute_score(own, k, stats, op07_pst.DEPTH) for k in range(len(own))))
+
+
 # 9: toxicity
 
 
