@@ -16,15 +16,15 @@ from __future__ import annotations
 
 import math
 import os
-from collections import Counter
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, fan_out, in_fold, slices, table, written
+from .common import discard, fan_out, in_fold, released, slices, table, written
 from .spans import _MEMO, keyed, mixed
 
 ORACLE_SQL = None
@@ -38,6 +38,8 @@ HOT_SHARE = 2e-6
 FILTER_BITS, MOST_BITS = 16, 27
 #: Training tokens for each bucket of the counting, and entries for each bucket of the lookups.
 BUCKET_TOKENS, BUCKET_ENTRIES = 1_000_000, 250_000
+#: Share of the training tokens from which the pairs of one context are dealt to many buckets; there are at most 4000 such contexts a length.
+HOT_CONTEXT = 1 / 4000
 #: Least divergence (nats) of a state from its suffix, and the count that is left over from each stored word.
 LEAST_DIVERGENCE, DISCOUNT = 0.01, 0.5
 END = b""
@@ -69,26 +71,77 @@ def _joined(ctx: np.ndarray, up: np.ndarray) -> np.ndarray:
     return mixed(up * np.uint64(0x9E3779B97F4A7C15) + ctx)
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """(g, c): how often each token (by its hash) occurs in `docs`; counted in the workers before the shuffle."""
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string."""
+    raw = b"".join([np.array([x.nbytes for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _arrays(blob: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    ends = np.cumsum(np.r_[8 * len(types), np.frombuffer(raw, np.int64, len(types))])
+    return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), types, strict=True)]
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(slice): the lengths of a slice of texts, its distinct tokens (by their hashes) and its tokens as places among those."""
+
+    def run(batches):
+        for part in slices(batches):
+            hashes, lengths, _ = hashes_of(part["text"])
+            distinct, at = np.unique(hashes, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([_blob(lengths, distinct, at.astype(np.uint32))], pa.binary())})
+
+    return docs.select("text").mapInArrow(run, "slice binary")
+
+
+def _tokens_in(batches):
+    """Hashes of tokens and their places in their texts, slice by slice."""
+    for batch in batches:
+        for blob in batch.column("slice").to_pylist():
+            lengths, distinct, at = _arrays(blob, "i8", "u8", "u4")
+            yield distinct[at], np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _dealt(buckets: np.ndarray, pack) -> pa.RecordBatch:
+    """Rows (bucket, pairs) of what belongs to each bucket, packed from the numbers of its rows."""
+    order = np.argsort(buckets, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(buckets[order]) > 0, True])
+    blobs = [pack(order[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(buckets[order][edges[:-1]].astype(np.int64)), "pairs": pa.array(blobs, pa.binary())})
+
+
+#: Tokens that a worker holds before it sends their counts on.
+HELD = 4_000_000
+
+
+def unigrams(tokens: DataFrame) -> DataFrame:
+    """(g, c): how often each token occurs in slices; counted in the workers before the shuffle, and then by buckets of the hash."""
+    buckets = np.uint64(fan_out(tokens))
 
     def run(batches):
-        counts: Counter = Counter()
+        held, room = [], 0
 
         def flush():
-            hashes = np.fromiter((_MEMO[w] for w in counts), np.uint64, len(counts))
-            out = pa.RecordBatch.from_pydict({"g": pa.array(hashes.view(np.int64)), "c": pa.array(list(counts.values()), pa.int64())})
-            counts.clear()
-            return out
+            g, c = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _dealt(g % buckets, lambda at: _blob(g[at], c[at]))
 
-        for part in slices(batches):
-            for text in part["text"]:
-                counts.update(tokens_of(text))
-            if len(counts) > 200_000:
+        for hashes, _ in _tokens_in(batches):
+            held.append(hashes)
+            room += len(hashes)
+            if room > HELD:
                 yield flush()
-        yield flush()
+                room = 0
+        if room:
+            yield flush()
+
+    def merge(own: pa.Table) -> pa.Table:
+        g, c = (np.concatenate(x) for x in zip(*(_arrays(b, "i8", "i8") for b in own["pairs"].to_pylist()), strict=True))
+        distinct, at = np.unique(g, return_inverse=True)
+        return pa.table({"g": distinct, "c": np.bincount(at, c).astype(np.int64)})
 
-    return docs.select("text").mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return tokens.mapInArrow(run, "bucket bigint, pairs binary").groupBy("bucket").applyInArrow(merge, "g bigint, c bigint")
 
 
 def filter_of(entries: DataFrame) -> np.ndarray | None:
@@ -98,7 +151,8 @@ def filter_of(entries: DataFrame) -> np.ndarray | None:
         return None
     power = min(MOST_BITS, max(15, math.ceil(math.log2(FILTER_BITS * n))))
     at = entries.select(F.expr(f"g & {(1 << power) - 1}L").alias("at")).select(F.expr("shiftright(at, 15)").alias("part"), F.expr("at & 32767L").alias("bit"))
-    parts = at.repartition("part").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
+    with released(entries.sparkSession):
+        parts = at.repartition("part").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
     out = np.zeros((1 << power - 15, 4096), np.uint8)
     out[parts["part"].to_numpy()] = np.frombuffer(b"".join(parts["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
     return out.ravel()
@@ -109,35 +163,19 @@ def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _packed(ctx: np.ndarray, up: np.ndarray, counts: np.ndarray) -> bytes:
-    """Counts of pairs as one compressed string: distinct contexts and their runs, distinct suffixes and their numbers, counts."""
-    order = np.argsort(ctx)
-    contexts, runs = np.unique(ctx[order], return_counts=True)
-    suffixes, number = np.unique(up[order], return_inverse=True)
-    sizes = np.array([len(ctx), len(contexts), len(suffixes)], np.int64)
-    raw = b"".join(x.tobytes() for x in (sizes, contexts, suffixes, runs.astype(np.uint32), number.astype(np.uint32), counts[order].astype(np.uint32)))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, k, m = np.frombuffer(raw, np.int64, 3).tolist()
-    contexts, suffixes = np.frombuffer(raw, np.uint64, k, 24), np.frombuffer(raw, np.uint64, m, 24 + 8 * k)
-    rest = np.frombuffer(raw, np.uint32, offset=24 + 8 * (k + m))
-    return np.repeat(contexts, rest[:k]), suffixes[rest[k : k + n]], rest[k + n :].astype(np.int64)
-
-
-def followers(docs: DataFrame, bits: np.ndarray, length: int, tokens: int) -> DataFrame:
-    """(g, ctx, up, c): counts of the contexts of `length` words that pass the filter with the word after them; `up` is the context's suffix with that word.
+def followers(tokens: DataFrame, before: DataFrame, bits: np.ndarray, length: int, n: int) -> DataFrame:
+    """(g, ctx, up, c, total, top): counts of the contexts of `length` words that pass the filter with the word after them, PAIR_COUNT or more.
 
-    Only pairs of PAIR_COUNT or more. Pairs are dealt to buckets by their own hash, so that a frequent context is in all of them;
-    workers count what they hold before, and there are as many buckets as the tokens need.
+    `up` is the context's suffix with that word, `total` how often the context occurs, `top` the count of its most frequent pair (in
+    the bucket). Pairs are dealt to buckets by their context; those of the contexts that hold a share of HOT_CONTEXT of all tokens by their
+    own hash, with totals that `before` has. Workers count what they hold before, and there are as many buckets as the tokens need.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    buckets = np.uint64(max(fan_out(docs), tokens // BUCKET_TOKENS + 1))
+    hot = before.where(F.col("c") >= max(2, HOT_CONTEXT * n)).select("g", "c").orderBy("g").toArrow()
+    shared = tokens.sparkSession.sparkContext.broadcast((bits, hot["g"].to_numpy().view(np.uint64), hot["c"].to_numpy()))
+    buckets = np.uint64(max(fan_out(tokens), n // BUCKET_TOKENS + 1))
 
     def run(batches):
-        bits = shared.value
+        bits, hot, _ = shared.value
         held: list[np.ndarray] = []
         room = 0
 
@@ -145,66 +183,68 @@ def followers(docs: DataFrame, bits: np.ndarray, length: int, tokens: int) -> Da
             ctx, up = np.concatenate(held, 1)
             held.clear()
             g, first, counts = np.unique(_joined(ctx, up), return_index=True, return_counts=True)
-            bucket = (g % buckets).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first, counts = first[order], counts[order]
-            edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-            blobs = [_packed(ctx[first[i:j]], up[first[i:j]], counts[i:j]) for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][edges[:-1]]), "pairs": pa.array(blobs, pa.binary())})
+            ctx, up = ctx[first], up[first]
+            return _dealt(np.where(np.isin(ctx, hot), g, mixed(ctx)) % buckets, lambda at: _blob(g[at], ctx[at], up[at], counts[at]))
 
-        for part in slices(batches):
-            grams, _, place = hashes_of(part["text"])
+        for grams, place in _tokens_in(batches):
             if len(grams) <= length:
                 continue
             for _ in range(length - 1):
                 grams = longer(grams)
-            at = np.flatnonzero((place[length:] >= length) & passes(bits, grams[:-1]))
+            at = np.flatnonzero(place[length:] >= length)
+            at = at[passes(bits, grams[at])]
             held.append(np.stack([grams[at], grams[at + 1]]))
             room += len(at)
-            if room > 4_000_000:
+            if room > HELD:
                 yield flush()
                 room = 0
         if room:
             yield flush()
 
     def merge(own: pa.Table) -> pa.Table:
-        ctx, up, c = (np.concatenate(x) for x in zip(*map(_unpacked, own["pairs"].to_pylist()), strict=True))
-        g, first, at = np.unique(_joined(ctx, up), return_index=True, return_inverse=True)
-        counts = np.bincount(at, c).astype(np.int64)
-        kept = counts >= PAIR_COUNT
-        return pa.table({k: pa.array(x[kept].view(np.int64)) for k, x in (("g", g), ("ctx", ctx[first]), ("up", up[first]), ("c", counts))})
-
-    counted = docs.select("text").mapInArrow(run, "bucket bigint, pairs binary")
-    return counted.groupBy("bucket").applyInArrow(merge, "g bigint, ctx bigint, up bigint, c bigint")
-
-
-def grown(docs: DataFrame, before: DataFrame, length: int, tokens: int) -> tuple[DataFrame, DataFrame] | None:
-    """The next level, None where no context is left: written tables of the sequences (g, c, r, a, open) of its contexts with a word, and of its contexts (g, c, b, open).
+        _, hot, hot_totals = shared.value
+        g, ctx, up, c = (np.concatenate(x) for x in zip(*(_arrays(b, "u8", "u8", "u8", "i8") for b in own["pairs"].to_pylist()), strict=True))
+        g, first, at = np.unique(g, return_index=True, return_inverse=True)
+        ctx, up, c = ctx[first], up[first], np.bincount(at, c).astype(np.int64)
+        contexts, at = np.unique(ctx, return_inverse=True)
+        total, top = np.bincount(at, c).astype(np.int64), np.zeros(len(contexts), np.int64)
+        np.maximum.at(top, at, c)
+        if len(hot):
+            found = np.minimum(np.searchsorted(hot.view(np.int64), contexts.view(np.int64)), len(hot) - 1)
+            total = np.where(hot[found] == contexts, hot_totals[found], total)
+        kept = c >= PAIR_COUNT
+        columns = {"g": g.view(np.int64), "ctx": ctx.view(np.int64), "up": up.view(np.int64), "c": c, "total": total[at], "top": top[at]}
+        return pa.table({k: pa.array(x[kept]) for k, x in columns.items()})
+
+    counted = tokens.mapInArrow(run, "bucket bigint, pairs binary")
+    return counted.groupBy("bucket").applyInArrow(merge, "g bigint, ctx bigint, up bigint, c bigint, total bigint, top bigint")
+
+
+def grown(tokens: DataFrame, before: DataFrame, length: int, n: int) -> DataFrame | None:
+    """The next level, None where no context is left: a written table of the sequences (g, c, r, a, open) of its contexts with a word, and of the contexts (ctx, total, b).
 
     `before` has (g, c, r, open) of the level before, r being the probability of the last word after the others. `a` is what a state
-    adds to log10 r of its suffix, b the log10 of what it leaves to it; both are null where the context is no state. `open` sequences may be
-    contexts of the next level: their suffix was followed by different words.
+    adds to log10 r of its suffix, b the log10 of what it leaves to it; both are null where the context is no state. `is_first` marks one row
+    of each context. `open` sequences may be contexts of the next level: their suffix was followed by different words.
     """
-    bits = filter_of(before.where((F.col("c") >= CONTEXT_COUNT) & F.col("open")))
+    contexts = before.where((F.col("c") >= CONTEXT_COUNT) & F.col("open"))
+    bits = filter_of(contexts)
     if bits is None:
         return None
-    pairs = written(followers(docs, bits, length, tokens))
-    parents = before.select(F.col("g").alias("up"), F.col("r").alias("q"))
-    totals = before.where((F.col("c") >= CONTEXT_COUNT) & F.col("open")).select(F.col("g").alias("ctx"), F.col("c").alias("total"))
-    seen = written(pairs.join(parents, "up").join(totals, "ctx").select("g", "ctx", "up", "c", "q", "total"))
-    discard(pairs)
-    own, p = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total")
-    least = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
-    each = seen.groupBy("ctx").agg(F.max("total").alias("total"), F.max("c").alias("top"), F.sum(own * F.log(own / F.col("q"))).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"))
+    pairs = written(followers(tokens, contexts, bits, length, n))
+    parents = before.where(F.col("c") >= PAIR_COUNT).select(F.col("g").alias("up"), F.col("r").alias("q"))
+    varied = pairs.groupBy("ctx").agg(F.max("top").alias("top"), F.max("total").alias("total")).where("top < total").select(F.col("ctx").alias("up"), F.lit(True).alias("open"))
+    seen = pairs.join(parents, "up").join(varied, "up", "left")
+    own, p, of = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total"), Window.partitionBy("ctx")
+    least = lambda x: F.greatest(1 - F.sum(x).over(of), F.lit(1e-12))
+    each = seen.select("*", p.alias("p"), F.sum(own * F.log(own / F.col("q"))).over(of).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"), (F.min("g").over(of) == F.col("g")).alias("is_first"))
     is_state = F.col("d") + F.col("rest") * F.log(F.col("rest") / F.col("rest_q")) >= LEAST_DIVERGENCE
-    contexts = written(each.select(F.col("ctx").alias("g"), F.col("total").alias("c"), F.when(is_state, F.log10("left")).alias("b"), (F.col("top") < F.col("total")).alias("open")))
-    left = contexts.select(F.col("g").alias("ctx"), "b")
-    varied = contexts.where("open").select(F.col("g").alias("up"), "open")
-    r = F.when(F.col("b").isNull(), F.col("q")).otherwise(p + F.pow(F.lit(10.0), "b") * F.col("q"))
-    level = seen.join(left, "ctx").join(varied, "up", "left").withColumn("r", r)
-    level = written(level.select("g", "c", "r", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")).alias("a"), F.coalesce("open", F.lit(False)).alias("open")))
-    discard(seen)
-    return level, contexts
+    each = each.withColumn("b", F.when(is_state, F.log10("left")))
+    each = each.withColumn("r", F.when(F.col("b").isNull(), F.col("q")).otherwise(F.col("p") + F.col("left") * F.col("q")))
+    each = each.withColumn("a", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")))
+    level = written(each.select("g", "c", "r", "a", F.coalesce("open", F.lit(False)).alias("open"), "is_first", F.when(F.col("is_first"), F.col("ctx")).alias("ctx"), F.when(F.col("is_first"), F.col("total")).alias("total"), F.when(F.col("is_first"), F.col("b")).alias("b")))
+    discard(pairs)
+    return level
 
 
 class Tree:
@@ -250,22 +290,23 @@ class Tree:
 
 def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of `docs` and the written table of its entries."""
-    counts = written(unigrams(docs))
+    tokens = written(tokenised(docs))
+    counts = written(unigrams(tokens))
     tree = Tree(*(int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()))
     before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n).withColumn("open", F.lit(True))
     zero = F.lit(0.0)
     parts = [before.select("g", F.lit(1).alias("words"), "c", F.log10("r").alias("a"), zero.alias("b"))]
     tables = [counts]
     for length in range(1, DEPTH + 1):
-        found = grown(docs, before, length, tree.n)
-        if found is None:
+        before = grown(tokens, before, length, tree.n)
+        if before is None:
             break
-        before, contexts = found
-        tables += found
-        states = contexts.where("b IS NOT NULL")
+        tables.append(before)
+        states = before.where("is_first AND b IS NOT NULL")
         tree.contexts.append(states.count())
         parts.append(before.where("a IS NOT NULL").select("g", F.lit(length + 1).alias("words"), "c", "a", zero.alias("b")))
-        parts.append(states.select("g", F.lit(length).alias("words"), "c", zero.alias("a"), "b"))
+        parts.append(states.select(F.col("ctx").alias("g"), F.lit(length).alias("words"), F.col("total").alias("c"), zero.alias("a"), "b"))
+    discard(tokens)
     together = parts[0]
     for part in parts[1:]:
         together = together.unionAll(part)
@@ -274,18 +315,6 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, tree.entries
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string."""
-    raw = b"".join([np.array([x.nbytes for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _arrays(blob: bytes, *types: str) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    ends = np.cumsum(np.r_[8 * len(types), np.frombuffer(raw, np.int64, len(types))])
-    return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), types, strict=True)]
-
-
 _PLAN = ("i8", "i8", "i8", "f8", "f8", "i4", "i4", "u4", "u4")
 
 
@@ -306,12 +335,14 @@ def _asked(rows: DataFrame, held: tuple, deepest: int, low: float, buckets: int)
             of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
             score, base, known = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), np.int64)
             cold, cold_of = [], []
+            at = np.arange(len(grams))
             for length in range(1, deepest + 1):
                 if length > 1:
                     grams = longer(grams)
-                    at = np.flatnonzero((place[length - 1 :] >= length - 1) & passes(bits, grams)) if bits is not None else np.zeros(0, np.int64)
-                else:
-                    at = np.arange(len(grams))
+                    # a sequence can only be an entry if what comes before its last word is one, too
+                    before = np.arange(len(grams)) if length == 2 else at[at < len(grams)]
+                    at = before[place[before + length - 1] >= length - 1] if bits is not None else before[:0]
+                    at = at[passes(bits, grams[at])] if len(at) else at
                 wanted, to = grams[at].view(np.int64), at + length - 1
                 if len(own):
                     found = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
@@ -377,7 +408,8 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
     low, unknown = math.log10(n + 0.5 * (v + 1)), tree.unknown()
     buckets = max(fan_out(docs), entries.count() // BUCKET_ENTRIES + 1)
-    hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
+    with released(docs.sparkSession):
+        hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
     held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
     asked = written(_asked(rows, held, len(tree.contexts) + 1, low, buckets))
     answers = written(_answered(asked, entries, buckets))
