@@ -1,8 +1,8 @@
 """I-Match document fingerprints from randomised lexicon subsets, by DataFrame functions alone.
 
-The lexicon holds the terms whose document frequency is in a band. Each of FAMILIES random families of lexicon subsets is nested: its first subset
-keeps half of the lexicon, every further one half of the last. A text's distinct terms in the lexicon are sorted, and those
-in each subset are hashed, until a subset has none of them.
+The lexicon holds the terms whose document frequency is in a band, each known by a hash. Its random subsets come in CELLS families, by the hash's upper
+bits: the first subset of a family is a random part of the lexicon, and every further one a random half of the last, by the lower bits. A
+text's distinct terms in the lexicon are sorted, and those in each subset are hashed, until a subset has none of them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from .common import fan_out, table, written
 #: The band of document frequency, as shares of all documents; terms of fewer than LEAST_DOCS documents are outside.
 BAND = (0.0002, 0.02)
 LEAST_DOCS = 2
-#: Families of nested lexicon subsets, and how many subsets are hashed beyond those that are expected to hold one of a text's terms.
-FAMILIES, BEYOND = 32, 8
+#: Families of nested lexicon subsets (a power of two), and how many subsets are hashed beyond those that are expected to hold one of a text's terms.
+CELL_BITS, BEYOND = 6, 5
+CELLS = 1 << CELL_BITS
 #: Lexicons of at most so many terms (16 bytes each) are broadcast. The band bounds them: terms of a share s of all
 #: documents or more are at most a text's mean number of distinct terms divided by s, whatever the number of documents.
 BROADCAST_TERMS = 1_000_000
@@ -73,27 +74,36 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def subsets(found: Column) -> Column:
     """Of sorted terms: for each family the hashes of the terms in its subsets, from the largest subset on until none is left."""
-    scales = F.sequence(F.lit(1), F.floor(F.log2(F.greatest(F.size(found), F.lit(1)))).cast("int") + BEYOND)
+    half = CELLS // 2
+    cell = F.transform(found, lambda t: F.shiftright(t, 64 - CELL_BITS))
+    # sorted terms of one family stand together
+    families = F.transform(F.sequence(F.lit(-half).cast("bigint"), F.lit(half - 1).cast("bigint")), lambda c: F.struct(F.array_position(cell, c).cast("int").alias("at"), (F.size(cell) - F.size(F.array_remove(cell, c))).alias("n")))
 
-    def family(r: Column) -> Column:
+    def family(x: Column) -> Column:
         def step(state: Column, scale: Column) -> Column:
-            left = F.filter(state.left, lambda t: F.expr("1") == F.call_function("getbit", F.xxhash64(t, r), scale))
-            return F.when(F.size(state.left) == 0, state).otherwise(F.struct(left.alias("left"), F.when(F.size(left) == 0, state.hashes).otherwise(F.array_append(state.hashes, F.xxhash64(left))).alias("hashes")))
+            left = F.filter(state.left, lambda t: F.call_function("getbit", t, scale) == 1)
+            return F.when(F.size(state.left) == 0, state).otherwise(F.struct(left.alias("left"), F.array_append(state.hashes, F.xxhash64(state.left)).alias("hashes")))
 
-        return F.aggregate(scales, F.struct(found.alias("left"), F.array().cast("array<bigint>").alias("hashes")), step, lambda state: state.hashes)
+        own = F.slice(found, x.at, x.n)
+        scales = F.sequence(F.lit(0), F.floor(F.log2(x.n)).cast("int") + BEYOND)
+        none = F.array().cast("array<bigint>")
+        return F.when(x.n == 0, none).otherwise(F.aggregate(scales, F.struct(own.alias("left"), none.alias("hashes")), step, lambda state: state.hashes))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), family)
+    return F.transform(families, family)
 
 
 def _likeness(a: str, b: str) -> Column:
     """Estimate of the Jaccard similarity of the terms of two fingerprints; 1 for equal ones, 0 where one has no term of the lexicon.
 
-    A family's subsets agree from the first one that none of the d differing terms is in; so 2 to the power of those that disagree tells d, by
-    the harmonic mean over the families. The relative error of d is 1.04 / sqrt(FAMILIES) = 0.18.
+    A family's subsets agree from the first one on that none of the differing terms is in. So how many disagree tells the number d of those
+    terms: by the harmonic mean over the families, and by the number of families that agree as a whole where d is small. The relative
+    error of d is 1.04 / sqrt(CELLS) = 0.13.
     """
     unequal = lambda x, y: F.greatest(F.size(x), F.size(y)) - F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
-    each = F.zip_with(f"{a}_sets", f"{b}_sets", lambda x, y: F.pow(F.lit(0.5), unequal(x, y)))
-    differing = 0.7213 * 2 * FAMILIES / F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    each = F.zip_with(f"{a}_sets", f"{b}_sets", unequal)
+    same = F.size(F.filter(each, lambda m: m == 0))
+    many = 0.709 * CELLS * CELLS / F.aggregate(each, F.lit(0.0), lambda s, m: s + F.pow(F.lit(0.5), m))
+    differing = F.when((many <= 2.5 * CELLS) & (same > 0), CELLS * F.log(CELLS / same)).otherwise(many)
     both = F.col(f"{a}_n") + F.col(f"{b}_n")
     estimate = F.greatest(F.lit(0.0), (both - differing) / (both + differing))
     return F.when(F.col(f"{a}_print") == F.col(f"{b}_print"), 1.0).when((F.col(f"{a}_n") == 0) | (F.col(f"{b}_n") == 0), 0.0).otherwise(F.coalesce(estimate, F.lit(0.0)))
