@@ -20,7 +20,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,7 +33,7 @@ DEPTH = 4
 #: Least counts of a context and of a context with the word after it.
 CONTEXT_COUNT, PAIR_COUNT = 2, 2
 #: Entries of at least this share of the training tokens are held by workers; all others are looked up.
-HOT_SHARE = 2e-6
+HOT_SHARE = 5e-7
 #: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); a fuller filter only lets more lookups through.
 FILTER_BITS, MOST_BITS = 16, 27
 #: Training tokens for each bucket of the counting, and entries for each bucket of the lookups.
@@ -83,23 +83,30 @@ def _arrays(blob: bytes, *types: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), types, strict=True)]
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """(slice): the lengths of a slice of texts, its distinct tokens (by their hashes) and its tokens as places among those."""
+#: Of a slice of texts: their keys, their numbers of tokens, whether they are learned from, the distinct tokens (by their hashes), the tokens as places among those.
+_SLICE = ("i8", "i8", "u1", "u8", "u4")
+
+
+def tokenised(rows: DataFrame) -> DataFrame:
+    """(slice): slices of the texts of rows (rid, text, learned)."""
 
     def run(batches):
         for part in slices(batches):
             hashes, lengths, _ = hashes_of(part["text"])
             distinct, at = np.unique(hashes, return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([_blob(lengths, distinct, at.astype(np.uint32))], pa.binary())})
+            blob = _blob(np.array(part["rid"], np.int64), lengths, np.array(part["learned"], np.uint8), distinct, at.astype(np.uint32))
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([blob], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "slice binary")
+    return rows.select("rid", "text", "learned").mapInArrow(run, "slice binary")
 
 
 def _tokens_in(batches):
-    """Hashes of tokens and their places in their texts, slice by slice."""
+    """Hashes of the tokens that are learned from and their places in their texts, slice by slice."""
     for batch in batches:
         for blob in batch.column("slice").to_pylist():
-            lengths, distinct, at = _arrays(blob, "i8", "u8", "u4")
+            _, lengths, learned, distinct, at = _arrays(blob, *_SLICE)
+            at = at[np.repeat(learned, lengths).astype(bool)]
+            lengths = lengths[learned > 0]
             yield distinct[at], np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
@@ -290,7 +297,14 @@ class Tree:
 
 def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of `docs` and the written table of its entries."""
-    tokens = written(tokenised(docs))
+    tokens = written(tokenised(docs.select(F.lit(0).alias("rid"), "text", F.lit(True).alias("learned"))))
+    out = learned_from(tokens)
+    discard(tokens)
+    return out
+
+
+def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
+    """The tree of a written table of slices and the written table of its entries."""
     counts = written(unigrams(tokens))
     tree = Tree(*(int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()))
     before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n).withColumn("open", F.lit(True))
@@ -306,7 +320,6 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
         tree.contexts.append(states.count())
         parts.append(before.where("a IS NOT NULL").select("g", F.lit(length + 1).alias("words"), "c", "a", zero.alias("b")))
         parts.append(states.select(F.col("ctx").alias("g"), F.lit(length).alias("words"), F.col("total").alias("c"), zero.alias("a"), "b"))
-    discard(tokens)
     together = parts[0]
     for part in parts[1:]:
         together = together.unionAll(part)
@@ -318,64 +331,75 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
 _PLAN = ("i8", "i8", "i8", "f8", "f8", "i4", "i4", "u4", "u4")
 
 
-def _asked(rows: DataFrame, held: tuple, deepest: int, low: float, buckets: int) -> DataFrame:
+def _asked(tokens: DataFrame, held: tuple, deepest: int, low: float, buckets: int) -> DataFrame:
     """Rows (batch, bucket, blob) of slices of texts: what a slice asks each bucket (distinct sequences), and under bucket -1 its plan.
 
     A plan has of each text its key, tokens, known tokens and the two sums as far as workers know them, the numbers of its lookups of words and of
     longer sequences, and then the lookups as places among all distinct sequences of the slice.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(held)
+    shared = tokens.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches):
+    def held_ones(own: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
+        return at, own[at] == wanted if len(own) else np.zeros(len(wanted), bool)
+
+    def planned(blob: bytes) -> pa.RecordBatch:
         own, counts, values, bits = shared.value
-        base_of = np.log10(counts + 0.5) - low
-        for part in slices(batches):
-            grams, lengths, place = hashes_of(part["text"])
-            starts = np.cumsum(lengths) - lengths
-            of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            score, base, known = np.zeros(len(grams)), np.zeros(len(grams)), np.zeros(len(grams), np.int64)
-            cold, cold_of = [], []
-            at = np.arange(len(grams))
-            for length in range(1, deepest + 1):
-                if length > 1:
-                    grams = longer(grams)
-                    # a sequence can only be an entry if what comes before its last word is one, too
-                    before = np.arange(len(grams)) if length == 2 else at[at < len(grams)]
-                    at = before[place[before + length - 1] >= length - 1] if bits is not None else before[:0]
-                    at = at[passes(bits, grams[at])] if len(at) else at
-                wanted, to = grams[at].view(np.int64), at + length - 1
-                if len(own):
-                    found = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-                    has = own[found] == wanted
-                    score[to[has]] += values[found[has]]
-                    if length == 1:
-                        base[has], known[has] = base_of[found[has]], 1
-                    wanted, to = wanted[~has], to[~has]
-                cold.append(wanted)
-                cold_of.append(of[to])
-            distinct, at = np.unique(np.concatenate(cold), return_inverse=True)
-            bucket = distinct % buckets
-            order = np.argsort(bucket, kind="stable")
-            places = np.empty(len(order), np.uint32)
-            places[order] = np.arange(len(order), dtype=np.uint32)
-            places = places[at]
-            words, n = len(cold[0]), len(lengths)
-            further = np.concatenate(cold_of[1:]) if len(cold) > 1 else np.zeros(0, np.int32)
-            by_text = np.argsort(further, kind="stable")
-            sums = [np.add.reduceat(x, starts) for x in (known, base, score)]
-            plan = _blob(np.array(part["rid"], np.int64), lengths, *sums, np.bincount(cold_of[0], minlength=n).astype(np.int32), np.bincount(further, minlength=n).astype(np.int32), places[:words], places[words:][by_text])
-            distinct, bucket = distinct[order], bucket[order]
-            edges = np.flatnonzero(np.r_[True, np.diff(bucket) > 0, True]) if len(bucket) else np.zeros(1, np.int64)
-            blobs = [distinct[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            batch = int.from_bytes(os.urandom(8), "little", signed=True)
-            yield pa.RecordBatch.from_pydict({"batch": pa.array([batch] * (len(blobs) + 1), pa.int64()), "bucket": pa.array([-1, *bucket[edges[:-1]].tolist()], pa.int64()), "blob": pa.array([plan, *blobs], pa.binary())})
-
-    return rows.select("rid", "text").mapInArrow(run, "batch bigint, bucket bigint, blob binary")
+        rid, lengths, _, words, at = _arrays(blob, *_SLICE)
+        starts, n = np.cumsum(lengths) - lengths, len(lengths)
+        place = np.arange(len(at)) - np.repeat(starts, lengths)
+        of = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        # words: each distinct one is looked up once
+        found, has = held_ones(own, words.view(np.int64))
+        score, base, known = (np.zeros(len(words)) for _ in range(3))
+        score[has], base[has], known[has] = values[found[has]], np.log10(counts[found[has]] + 0.5) - low, 1
+        score = score[at]
+        number = np.cumsum(~has, dtype=np.uint32) - np.uint32(1)
+        cold = ~has[at]
+        cold_words, words_of = number[at[cold]], of[cold]
+        distinct = words[~has].view(np.int64)
+        # longer sequences: one can only be an entry if what comes before its last word is one, too
+        grams, rest, rest_of = words[at], [], []
+        start = np.arange(len(grams))
+        for length in range(2, deepest + 1):
+            grams = longer(grams)
+            start = start[start < len(grams)]
+            start = start[place[start + length - 1] >= length - 1]
+            start = start[passes(bits, grams[start])] if bits is not None else start[:0]
+            wanted = grams[start].view(np.int64)
+            found, has = held_ones(own, wanted)
+            to = start + length - 1
+            score[to[has]] += values[found[has]]
+            rest.append(wanted[~has])
+            rest_of.append(of[to[~has]])
+        further = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+        further_of = np.concatenate(rest_of) if rest else np.zeros(0, np.int32)
+        more, places = np.unique(further, return_inverse=True)
+        places = places[np.argsort(further_of, kind="stable")] + len(distinct)
+        distinct = np.concatenate([distinct, more])
+        bucket = distinct % buckets
+        order = np.argsort(bucket, kind="stable")
+        moved = np.empty(len(order), np.uint32)
+        moved[order] = np.arange(len(order), dtype=np.uint32)
+        sums = [np.add.reduceat(x, starts) for x in (known[at].astype(np.int64), base[at], score)]
+        plan = _blob(rid, lengths, *sums, np.bincount(words_of, minlength=n).astype(np.int32), np.bincount(further_of, minlength=n).astype(np.int32), moved[cold_words], moved[places])
+        distinct, bucket = distinct[order], bucket[order]
+        edges = np.flatnonzero(np.r_[True, np.diff(bucket) > 0, True]) if len(bucket) else np.zeros(1, np.int64)
+        blobs = [distinct[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        batch = int.from_bytes(os.urandom(8), "little", signed=True)
+        return pa.RecordBatch.from_pydict({"batch": pa.array([batch] * (len(blobs) + 1), pa.int64()), "bucket": pa.array([-1, *bucket[edges[:-1]].tolist()], pa.int64()), "blob": pa.array([plan, *blobs], pa.binary())})
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("slice").to_pylist():
+                yield planned(blob)
+
+    return tokens.mapInArrow(run, "batch bigint, bucket bigint, blob binary")
 
 
 def _answered(asked: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
     """Answers (batch, bucket, blob) to what is asked: count (of words; 0 for what is unknown) and value of each sequence, in the order of the question."""
-    value = (F.col("a") + F.col("b")).alias("value")
+    value = (F.col("a") + F.col("b")).cast("float").alias("value")
     known = entries.select(F.expr(f"pmod(g, {buckets}L)").alias("bucket"), "g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), value)
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
@@ -386,39 +410,42 @@ def _answered(asked: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
         for blob in asks["blob"].to_pylist():
             wanted = np.frombuffer(blob, np.int64)
             if not len(own):
-                blobs.append(_blob(np.zeros(len(wanted), np.int64), np.full(len(wanted), np.nan)))
+                blobs.append(_blob(np.zeros(len(wanted), np.int64), np.full(len(wanted), np.nan, np.float32)))
                 continue
             at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
             has = own[at] == wanted
-            blobs.append(_blob(np.where(has, counts[at], 0), np.where(has, values[at], np.nan)))
+            blobs.append(_blob(np.where(has, counts[at], 0), np.where(has, values[at], np.float32(np.nan))))
         return pa.table({"batch": asks["batch"], "bucket": asks["bucket"], "blob": pa.array(blobs, pa.binary())})
 
     return asked.where("bucket >= 0").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "batch bigint, bucket bigint, blob binary")
 
 
-def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`.
+def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`. `training` is a table of texts, or tells which rows of `docs` to learn from.
 
     A null or empty text is one token, its end. Repeated rows are scored alike; without training rows every token is unknown and
     probabilities come from the smoothing alone; an empty table gives no rows; other columns are not read. Entries of the tree that workers
-    don't hold are looked up in its table by buckets of their hash.
+    don't hold are looked up in its table by buckets of their hash; their values are kept with 24 bits.
     """
-    tree, entries = learn(training.select("text"))
-    n, v = tree.n if tree.v else 0, tree.v
+    inside = isinstance(training, Column)
     rows = keyed(docs.select("doc_id", "text"))
+    tokens = written(tokenised(rows.withColumn("learned", F.coalesce(training, F.lit(False)) if inside else F.lit(False))))
+    tree, entries = learned_from(tokens) if inside else learn(training)
+    n, v = tree.n if tree.v else 0, tree.v
     low, unknown = math.log10(n + 0.5 * (v + 1)), tree.unknown()
     buckets = max(fan_out(docs), entries.count() // BUCKET_ENTRIES + 1)
     with released(docs.sparkSession):
         hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
     held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
-    asked = written(_asked(rows, held, len(tree.contexts) + 1, low, buckets))
+    asked = written(_asked(tokens, held, len(tree.contexts) + 1, low, buckets))
+    discard(tokens)
     answers = written(_answered(asked, entries, buckets))
     discard(entries)
 
     def total(own: pa.Table) -> pa.Table:
         blobs = dict(zip(own["bucket"].to_pylist(), own["blob"].to_pylist(), strict=True))
         rid, tokens, known, base, score, n_words, n_longer, words, further = _arrays(blobs.pop(-1), *_PLAN)
-        got = [_arrays(blobs[b], "i8", "f8") for b in sorted(blobs)]
+        got = [_arrays(blobs[b], "i8", "f4") for b in sorted(blobs)]
         counts, values = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
         known, base, score = known.copy(), base.copy(), score.copy()
         for places, of, rest in ((words, n_words, unknown), (further, n_longer, 0.0)):
@@ -437,5 +464,5 @@ def scores(docs: DataFrame, training: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = scores(docs, docs.where(in_fold() != HELD_OUT))
+    out = scores(docs, in_fold() != HELD_OUT)
     return out.select("doc_id", (in_fold() == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

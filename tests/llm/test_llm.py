@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loxodrome.llm import op01_imatch, op02_quality, op03_bpe, op04_jaccard, op05_packing, op06_lines, op07_pst, op08_suffix, op09_toxicity, op10_debruijn
@@ -411,6 +412,8 @@ def test_suffix_tree_scores_equal_the_definition(spark):
     for i, t in data:
         own = (t or "").split() + [""]
         assert out[i] == pytest.approx(sum(brute_score(own, k, stats, op07_pst.DEPTH) for k in range(len(own))))
+    inside = [x["score"] for x in op07_pst.scores(docs, F.col("doc_id") % 4 != 0).collect()]
+    assert sorted(inside) == pytest.approx(sorted(out[i] for i, _ in data))
 
 
 # 9: toxicity
