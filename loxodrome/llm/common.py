@@ -42,18 +42,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the queries that fill written tables: shuffle files go as soon as a query has ended, and batches for Python are bounded in bytes.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of queries that run meanwhile are released as soon as each has ended."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Queries that run meanwhile have those settings; the session's own are put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ FILTER_BITS, MOST_BITS = 16, 27
 BUCKET_TOKENS, BUCKET_ENTRIES = 1_000_000, 250_000
 #: Share of the training tokens from which the pairs of one context are dealt to many buckets; there are at most 4000 such contexts a length.
 HOT_CONTEXT = 1 / 4000
+#: Parts of the buckets that are looked up one after the other.
+ROUNDS = 3
 #: Least divergence (nats) of a state from its suffix, and the count that is left over from each stored word.
 LEAST_DIVERGENCE, DISCOUNT = 0.01, 0.5
 END = b""
@@ -53,13 +55,13 @@ def tokens_of(text: str | None) -> list[bytes]:
     return out
 
 
-def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens, the number of tokens of each text, and each token's place in its text."""
-    split = [tokens_of(t) for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    memo = _MEMO
-    hashes = np.fromiter((memo[w] for own in split for w in own), np.uint64, int(lengths.sum()))
-    return hashes, lengths, np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens and the number of tokens of each text; words are held for one text at a time."""
+    memo, out = _MEMO, []
+    for text in texts:
+        own = tokens_of(text)
+        out.append(np.fromiter((memo[w] for w in own), np.uint64, len(own)))
+    return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
 
 def longer(grams: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def tokenised(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in slices(batches):
-            hashes, lengths, _ = hashes_of(part["text"])
+            hashes, lengths = hashes_of(part["text"])
             distinct, at = np.unique(hashes, return_inverse=True)
             blob = _blob(np.array(part["rid"], np.int64), lengths, np.array(part["learned"], np.uint8), distinct, at.astype(np.uint32))
             yield pa.RecordBatch.from_pydict({"slice": pa.array([blob], pa.binary())})
@@ -119,7 +121,7 @@ def _dealt(buckets: np.ndarray, pack) -> pa.RecordBatch:
 
 
 #: Tokens that a worker holds before it sends their counts on.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def unigrams(tokens: DataFrame) -> DataFrame:
@@ -439,7 +441,11 @@ def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
     held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
     asked = written(_asked(tokens, held, len(tree.contexts) + 1, low, buckets))
     discard(tokens)
-    answers = written(_answered(asked, entries, buckets))
+    # in rounds, so that a part of the tables is shuffled at a time
+    answers = None
+    for k in range(ROUNDS):
+        own = written(_answered(asked.where(F.pmod("bucket", F.lit(ROUNDS)) == k), entries.where(F.pmod(F.expr(f"pmod(g, {buckets}L)"), F.lit(ROUNDS)) == k), buckets))
+        answers = own if answers is None else answers.unionByName(own)
     discard(entries)
 
     def total(own: pa.Table) -> pa.Table:
