@@ -85,8 +85,14 @@ def _arrays(blob: bytes, *types: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], t) for a, b, t in zip(ends[:-1].tolist(), ends[1:].tolist(), types, strict=True)]
 
 
-#: Of a slice of texts: their keys, their numbers of tokens, whether they are learned from, the distinct tokens (by their hashes), the tokens as places among those.
-_SLICE = ("i8", "i8", "u1", "u8", "u4")
+#: Of a slice of texts: their keys, their numbers of tokens, whether they are learned from, the distinct tokens (by their hashes, the most frequent
+#: first), and the tokens as places among those, byte by byte, which compresses best.
+_SLICE = ("i8", "i8", "u1", "u8", "u1")
+
+
+def _sliced(blob: bytes) -> list[np.ndarray]:
+    rid, lengths, learned, distinct, planes = _arrays(blob, *_SLICE)
+    return [rid, lengths, learned, distinct, np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()]
 
 
 def tokenised(rows: DataFrame) -> DataFrame:
@@ -95,8 +101,12 @@ def tokenised(rows: DataFrame) -> DataFrame:
     def run(batches):
         for part in slices(batches):
             hashes, lengths = hashes_of(part["text"])
-            distinct, at = np.unique(hashes, return_inverse=True)
-            blob = _blob(np.array(part["rid"], np.int64), lengths, np.array(part["learned"], np.uint8), distinct, at.astype(np.uint32))
+            distinct, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            number = np.empty(len(order), "<u4")
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            planes = np.ascontiguousarray(number[at].view(np.uint8).reshape(-1, 4).T)
+            blob = _blob(np.array(part["rid"], np.int64), lengths, np.array(part["learned"], np.uint8), distinct[order], planes)
             yield pa.RecordBatch.from_pydict({"slice": pa.array([blob], pa.binary())})
 
     return rows.select("rid", "text", "learned").mapInArrow(run, "slice binary")
@@ -106,7 +116,7 @@ def _tokens_in(batches):
     """Hashes of the tokens that are learned from and their places in their texts, slice by slice."""
     for batch in batches:
         for blob in batch.column("slice").to_pylist():
-            _, lengths, learned, distinct, at = _arrays(blob, *_SLICE)
+            _, lengths, learned, distinct, at = _sliced(blob)
             at = at[np.repeat(learned, lengths).astype(bool)]
             lengths = lengths[learned > 0]
             yield distinct[at], np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -172,6 +182,22 @@ def passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+_PAIRS = ("u8", "u4", "u8", "u4", "u4")
+
+
+def _packed(ctx: np.ndarray, up: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of pairs: distinct contexts and their runs, distinct suffixes and their numbers, counts."""
+    order = np.argsort(ctx, kind="stable")
+    contexts, runs = np.unique(ctx, return_counts=True)
+    suffixes, number = np.unique(up[order], return_inverse=True)
+    return _blob(contexts, runs.astype(np.uint32), suffixes, number.astype(np.uint32), counts[order].astype(np.uint32))
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    contexts, runs, suffixes, number, counts = _arrays(blob, *_PAIRS)
+    return np.repeat(contexts, runs), suffixes[number], counts.astype(np.int64)
+
+
 def followers(tokens: DataFrame, before: DataFrame, bits: np.ndarray, length: int, n: int) -> DataFrame:
     """(g, ctx, up, c, total, top): counts of the contexts of `length` words that pass the filter with the word after them, PAIR_COUNT or more.
 
@@ -193,7 +219,7 @@ def followers(tokens: DataFrame, before: DataFrame, bits: np.ndarray, length: in
             held.clear()
             g, first, counts = np.unique(_joined(ctx, up), return_index=True, return_counts=True)
             ctx, up = ctx[first], up[first]
-            return _dealt(np.where(np.isin(ctx, hot), g, mixed(ctx)) % buckets, lambda at: _blob(g[at], ctx[at], up[at], counts[at]))
+            return _dealt(np.where(np.isin(ctx, hot), g, mixed(ctx)) % buckets, lambda at: _packed(ctx[at], up[at], counts[at]))
 
         for grams, place in _tokens_in(batches):
             if len(grams) <= length:
@@ -212,8 +238,8 @@ def followers(tokens: DataFrame, before: DataFrame, bits: np.ndarray, length: in
 
     def merge(own: pa.Table) -> pa.Table:
         _, hot, hot_totals = shared.value
-        g, ctx, up, c = (np.concatenate(x) for x in zip(*(_arrays(b, "u8", "u8", "u8", "i8") for b in own["pairs"].to_pylist()), strict=True))
-        g, first, at = np.unique(g, return_index=True, return_inverse=True)
+        ctx, up, c = (np.concatenate(x) for x in zip(*map(_unpacked, own["pairs"].to_pylist()), strict=True))
+        g, first, at = np.unique(_joined(ctx, up), return_index=True, return_inverse=True)
         ctx, up, c = ctx[first], up[first], np.bincount(at, c).astype(np.int64)
         contexts, at = np.unique(ctx, return_inverse=True)
         total, top = np.bincount(at, c).astype(np.int64), np.zeros(len(contexts), np.int64)
@@ -241,7 +267,7 @@ def grown(tokens: DataFrame, before: DataFrame, length: int, n: int) -> DataFram
     if bits is None:
         return None
     pairs = written(followers(tokens, contexts, bits, length, n))
-    parents = before.where(F.col("c") >= PAIR_COUNT).select(F.col("g").alias("up"), F.col("r").alias("q"))
+    parents = before.where(F.col("c") >= PAIR_COUNT).select(F.col("g").alias("up"), F.col("r").cast("double").alias("q"))
     varied = pairs.groupBy("ctx").agg(F.max("top").alias("top"), F.max("total").alias("total")).where("top < total").select(F.col("ctx").alias("up"), F.lit(True).alias("open"))
     seen = pairs.join(parents, "up").join(varied, "up", "left")
     own, p, of = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total"), Window.partitionBy("ctx")
@@ -251,7 +277,7 @@ def grown(tokens: DataFrame, before: DataFrame, length: int, n: int) -> DataFram
     each = each.withColumn("b", F.when(is_state, F.log10("left")))
     each = each.withColumn("r", F.when(F.col("b").isNull(), F.col("q")).otherwise(F.col("p") + F.col("left") * F.col("q")))
     each = each.withColumn("a", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")))
-    level = written(each.select("g", "c", "r", "a", F.coalesce("open", F.lit(False)).alias("open"), "is_first", F.when(F.col("is_first"), F.col("ctx")).alias("ctx"), F.when(F.col("is_first"), F.col("total")).alias("total"), F.when(F.col("is_first"), F.col("b")).alias("b")))
+    level = written(each.select("g", "c", F.col("r").cast("float").alias("r"), F.col("a").cast("float").alias("a"), F.coalesce("open", F.lit(False)).alias("open"), "is_first", F.when(F.col("is_first"), F.col("ctx")).alias("ctx"), F.when(F.col("is_first"), F.col("total")).alias("total"), F.when(F.col("is_first"), F.col("b").cast("float")).alias("b")))
     discard(pairs)
     return level
 
@@ -310,8 +336,8 @@ def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
     counts = written(unigrams(tokens))
     tree = Tree(*(int(x or 0) for x in counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()))
     before = counts.withColumn("r", (F.col("c") - tree.root_discount) / tree.n).withColumn("open", F.lit(True))
-    zero = F.lit(0.0)
-    parts = [before.select("g", F.lit(1).alias("words"), "c", F.log10("r").alias("a"), zero.alias("b"))]
+    zero = F.lit(0.0).cast("float")
+    parts = [before.select("g", F.lit(1).alias("words"), "c", F.log10("r").cast("float").alias("a"), zero.alias("b"))]
     tables = [counts]
     for length in range(1, DEPTH + 1):
         before = grown(tokens, before, length, tree.n)
@@ -325,7 +351,7 @@ def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
     together = parts[0]
     for part in parts[1:]:
         together = together.unionAll(part)
-    tree.entries = written(together.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+    tree.entries = written(together.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")))
     discard(*tables)
     return tree, tree.entries
 
@@ -347,7 +373,7 @@ def _asked(tokens: DataFrame, held: tuple, deepest: int, low: float, buckets: in
 
     def planned(blob: bytes) -> pa.RecordBatch:
         own, counts, values, bits = shared.value
-        rid, lengths, _, words, at = _arrays(blob, *_SLICE)
+        rid, lengths, _, words, at = _sliced(blob)
         starts, n = np.cumsum(lengths) - lengths, len(lengths)
         place = np.arange(len(at)) - np.repeat(starts, lengths)
         of = np.repeat(np.arange(n, dtype=np.int32), lengths)
@@ -437,7 +463,7 @@ def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
     low, unknown = math.log10(n + 0.5 * (v + 1)), tree.unknown()
     buckets = max(fan_out(docs), entries.count() // BUCKET_ENTRIES + 1)
     with released(docs.sparkSession):
-        hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).alias("value")).orderBy("g").toArrow()
+        hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).cast("double").alias("value")).orderBy("g").toArrow()
     held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
     asked = written(_asked(tokens, held, len(tree.contexts) + 1, low, buckets))
     discard(tokens)
