@@ -43,7 +43,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Settings of the queries that fill written tables: shuffle files go as soon as a query has ended, and batches for Python are bounded in bytes.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 @contextmanager

@@ -131,7 +131,7 @@ def _dealt(buckets: np.ndarray, pack) -> pa.RecordBatch:
 
 
 #: Tokens that a worker holds before it sends their counts on.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def unigrams(tokens: DataFrame) -> DataFrame:
