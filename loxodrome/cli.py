@@ -42,7 +42,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "score":
         began, log = time.time(), io.logger(args.log)
         evals = io.read_eval_set(spark, args.eval_file, args.limit)
-        results = score.score(evals, io.read_outputs(spark, args.outputs), score.VARIANTS[args.variant], not args.no_truth_boost)
+        outputs = io.read_outputs(spark, args.outputs)
+        if args.limit is None and (lost := score.unmatched(evals, outputs).limit(1).count()):
+            raise ValueError(f"{args.outputs} has outputs whose idx is not in {args.eval_file} ({lost} or more)")
+        results = score.score(evals, outputs, score.VARIANTS[args.variant], not args.no_truth_boost)
         io.write_table(results, args.out, schemas.RESULTS)
         own = score.summary(spark.read.parquet(args.out), rates=args.variant == "channel")
         target = io.write_summary(own, args.summary, clobber=args.variant == "tag", model=args.model, eval_file=args.eval_file, results_file=args.out, **io.run_metadata(variant=args.variant), run_duration_sec=round(time.time() - began, 3))

@@ -59,9 +59,12 @@ def trace(choice: Column) -> Column:
     return F.when(choice.isNull(), "no numeric candidate").otherwise(F.format_string("value=%s unit=%s assumed=%s km=%s score=%s span=[%s,%s]", top.raw_value.cast("string"), F.coalesce(top.unit_raw, F.lit("-")), choice.resolved.unit, choice.resolved.km.cast("string"), top.score.cast("string"), top.start.cast("string"), top["end"].cast("string")))
 
 
-def score(evals: DataFrame, outputs: DataFrame, variant: Variant = TAG, use_truth_boost: bool = True, with_trace: bool = False) -> DataFrame:
-    """Results of `evals` (idx, developer, user, expected_km, ...) with `outputs` (idx, model_output_raw), joined by idx."""
-    split = evals.join(outputs, "idx").withColumn("_split", variant.split(F.col("model_output_raw"))).withColumns({"final": F.col("_split.final"), "analysis": F.col("_split.analysis")})
+def score(evals: DataFrame, outputs: DataFrame, variant: Variant = TAG, use_truth_boost: bool = True, with_trace: bool = False, how: str = "left") -> DataFrame:
+    """Results of `evals` (idx, developer, user, expected_km, ...) with `outputs` (idx, model_output_raw), joined by idx.
+
+    A row without an output counts as a wrong answer, unless `how` is "inner" (for streams of outputs, that score what has come).
+    """
+    split = evals.join(outputs, "idx", how).withColumn("model_output_raw", F.coalesce("model_output_raw", F.lit(""))).withColumn("_split", variant.split(F.col("model_output_raw"))).withColumns({"final": F.col("_split.final"), "analysis": F.col("_split.analysis")})
     out = choose_candidate(split, variant, use_truth_boost)
     result = numbers.bucket_points(F.col("expected_km"), F.col("choice.resolved.km"))
     out = out.withColumn("_result", result)
@@ -85,6 +88,11 @@ def score(evals: DataFrame, outputs: DataFrame, variant: Variant = TAG, use_trut
     return out.select(*kept, *named, F.col("used_analysis_fallback"), *([trace(F.col("choice")).alias("trace")] if with_trace else []))
 
 
+def unmatched(evals: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Outputs whose idx is none of `evals`: they belong to another evaluation set."""
+    return outputs.join(evals.select("idx"), "idx", "left_anti")
+
+
 def summary(results: DataFrame, rates: bool = False) -> DataFrame:
     """One row: n, a count for each bucket, total_points, points_per_sample, and perhaps each bucket's share. One row per task is shuffled."""
     counts = results.agg(F.count("*").alias("n"), *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS], F.coalesce(F.sum("points"), F.lit(0)).alias("total_points"))

@@ -585,6 +585,12 @@ def _(spark, sf):
     return results(spark, sf).select("idx", "parsed_value", "parsed_unit_norm", F.round("parsed_km", 5).alias("parsed_km"), "bucket", "points")
 
 
+@query("score_join_missing", f"WITH {_RESULT} SELECT k AS idx, CASE WHEN k % 3 = 0 THEN 'wrong' ELSE bucket END AS bucket, CASE WHEN k % 3 = 0 THEN 0 ELSE points END AS points FROM b")
+def _(spark, sf):
+    some = outputs(spark, sf).where("idx % 3 <> 0")
+    return score.score(evals(spark, sf), some).select("idx", "bucket", "points")
+
+
 @query("bucket_points", f"WITH {_RESULT} SELECT k AS idx, bucket, points, round(rel, 6) AS rel_error FROM b")
 def _(spark, sf):
     return results(spark, sf).select("idx", "bucket", "points", F.round("rel_error", 6).alias("rel_error"))

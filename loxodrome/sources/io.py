@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import logging
 import subprocess
@@ -17,10 +18,15 @@ from . import schemas
 
 
 def read_eval_set(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """An evaluation set with `idx`, the row's place: the column of that name, else numbers in the order of the files."""
+    """An evaluation set with `idx`, the row's place: the column of that name, else numbers from 0 without gaps, by the files' names and the rows in them."""
     df = spark.read.parquet(path)
     if "idx" not in df.columns:
-        df = df.withColumn("idx", F.monotonically_increasing_id())
+        place = F.col("_metadata.row_index")
+        files = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("n")).orderBy("_file").collect()
+        before = [0, *itertools.accumulate(f["n"] for f in files)][: len(files)]
+        offsets = spark.createDataFrame([(f["_file"], b) for f, b in zip(files, before, strict=True)], "_file string, _before bigint")
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place")).join(F.broadcast(offsets), "_file")
+        df = df.withColumn("idx", F.col("_before") + F.col("_place")).drop("_file", "_place", "_before")
     return df if limit is None else df.orderBy("idx").limit(limit)
 
 
@@ -37,9 +43,9 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, schema: str | None = None, mode: str = "overwrite") -> None:
-    """zstd Parquet; with a schema, exactly its columns and types."""
+    """zstd Parquet; with a schema, exactly its columns and types (null where `df` has no such column)."""
     if schema:
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
     df.write.mode(mode).option("compression", "zstd").parquet(path)
 
 

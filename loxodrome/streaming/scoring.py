@@ -11,7 +11,7 @@ from ..operators.score import BUCKETS, TAG, Variant, score
 
 def score_stream(outputs: DataFrame, evals: DataFrame, variant: Variant = TAG) -> DataFrame:
     """Results of a stream of outputs (idx, model_output_raw) joined with a stored evaluation set."""
-    return score(evals, outputs, variant)
+    return score(evals, outputs, variant, how="inner")
 
 
 def running_summary(results: DataFrame) -> DataFrame:

@@ -145,3 +145,27 @@ def test_generator_boundary(spark):
     got = score.generated(evals, lambda prompts: [p.upper() for p in prompts], batch=2)
     assert sorted(r["model_output_raw"] for r in got.collect()) == ["P0", "P1", "P2", "P3", "P4"]
     assert (score.token_budget(100, 0.5), score.token_budget(100), score.token_budget(5000)) == (50, 100, 1000)
+
+
+def test_rows_without_idx_are_numbered_and_none_is_lost(spark, tmp_path):
+    from loxodrome.operators import score
+    from loxodrome.sources import io
+
+    rows = spark.range(100).selectExpr("'d' AS developer", "concat('how far, km? ', id) AS user", "id + 1D AS expected_km")
+    rows.repartition(4).write.parquet(str(tmp_path / "evals"))
+    evals = io.read_eval_set(spark, str(tmp_path / "evals"))
+    again = {r["idx"]: r["user"] for r in io.read_eval_set(spark, str(tmp_path / "evals")).collect()}
+    assert sorted(again) == list(range(100)) and all(again[r["idx"]] == r["user"] for r in evals.collect())
+    outputs = evals.where("idx < 60").selectExpr("idx", "concat('<final>', expected_km, ' km</final>') AS model_output_raw")
+    got = {r["idx"]: (r["bucket"], r["points"]) for r in score.score(evals, outputs).collect()}
+    assert len(got) == 100 and all(got[i] == (("perfect", 10) if i < 60 else ("wrong", 0)) for i in got)
+    assert score.unmatched(evals, outputs).count() == 0 and score.unmatched(evals.where("idx > 9"), outputs).count() == 10
+
+
+def test_the_engine_works_where_the_subpackage_cannot_be_imported():
+    import subprocess
+    import sys
+
+    said = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[0]) > 80
