@@ -238,6 +238,60 @@ def test_forest_depth():
     assert 1 - (1 - 0.8**d) ** op04_jaccard.TREES >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** op04_jaccard.TREES
 
 
+def test_prefixes_are_shortened_until_the_target_is_reached():
+    shorter = op04_jaccard.next_depth
+    assert shorter({1000: 50}, 8, 0.99999) == 8
+    assert shorter({800: 50}, 8, 0.99999) == op04_jaccard.depth_for(0.8, 0.99999) == 5
+    assert shorter({800: 50, 1000: 5000}, 8, 0.99999) == 7  # most links are surer
+    assert shorter({}, 8, 0.99999) == 8
+
+
+def test_sorted_tries_connect_the_texts_of_every_node(spark):
+    random = np.random.default_rng(1)
+    names = random.integers(0, 2, (150, op04_jaccard.TREES, op04_jaccard.DEPTH), np.uint64)  # two symbols: prefixes of every length
+    sig = (names << (np.arange(op04_jaccard.DEPTH - 1, -1, -1, dtype=np.uint64) * np.uint64(op04_jaccard.SYMBOL))).sum(2, dtype=np.uint64)
+    reps = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(sig)], "rep bigint, sig array<bigint>").repartition(7)
+    edges = [tuple(r) for r in op04_jaccard._edges(reps, 5).collect()]
+    for depth in range(5, op04_jaccard.DEPTH + 1):
+        meets = op04_jaccard._meeting(sig, depth)
+        top, own = np.arange(150), np.arange(150)
+        for _ in range(150):
+            for a, b, d in edges:
+                if d >= depth:
+                    top[a] = top[b] = min(top[a], top[b])
+            own = np.where(meets, own[None, :], 150).min(1)
+        assert (top == own).all()
+        assert all(meets[a, b] for a, b, d in edges if d >= depth)
+
+
+def test_recall_of_planted_pairs(spark):
+    texts = []
+    for i in range(600):  # k changed words of 400, five or more apart, change 5 k of 396 shingles
+        words_ = [f"t{i}w{j}" for j in range(400)]
+        texts.append((2 * i, " ".join(words_)))
+        for k in range(i % 5 + 4):
+            words_[20 + 40 * k] = "x"
+        texts.append((2 * i + 1, " ".join(words_)))
+    out = {r["doc_id"]: r for r in op04_jaccard.jaccard_join(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    alike = {k: (396 - 5 * k) / (396 + 5 * k) for k in range(4, 9)}
+    assert min(alike.values()) < 0.82 and max(alike.values()) > 0.9
+    assert all(out[i]["n_links"] == 1 and out[i]["class_id"] == i - i % 2 for i in range(1200))
+
+
+def test_a_text_goes_to_the_blocks_in_which_it_meets_another(spark, monkeypatch):
+    monkeypatch.setattr(op04_jaccard, "BLOCK", 8)
+    base = [f"w{i}" for i in range(4200)]
+    texts = [(i, " ".join(base[4 * i : 4 * i + 100])) for i in range(1000)]  # each like the next ones alone: one group
+    rows = spark.createDataFrame(texts, "rid bigint, text string")
+    reps = op04_jaccard._signed(rows).withColumnRenamed("rid", "rep")
+    groups = components(op04_jaccard._edges(reps, 6).select("a", "b"))
+    assert groups.select("component").distinct().count() < 20
+    assert op04_jaccard._dealt(groups, reps, 6, None).count() < 40 * 1000  # all blocks: 125 for each text
+    out = op04_jaccard.jaccard_join(rows.withColumnRenamed("rid", "doc_id")).collect()
+    want = {d for d in range(1, 24) if 5 * (96 - 4 * d) >= 4 * (96 + 4 * d)}
+    assert all(r["n_links"] == sum((r["doc_id"] + d < 1000) + (r["doc_id"] >= d) for d in want) for r in out)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (102, 103)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
