@@ -332,8 +332,10 @@ def _dealt(groups: DataFrame, reps: DataFrame, depth: int, done: DataFrame | Non
     paths = large.join(reps.select(F.col("rep").alias("node"), "sig"), "node").select("component", "blk", "node", F.posexplode("sig").alias("tree", "path"))
     nodes = paths.withColumn("path", F.shiftrightunsigned("path", 64 - SYMBOL * depth))
     on = ["component", "tree", "path"]
-    across = nodes.join(nodes.select(*on, F.col("blk").alias("o")).distinct(), on)
-    pairs = across.select(grp, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", rep).distinct()
+    # a row for each text and tree node: the blocks of a node are one value, and a text's equal ones are counted once
+    there = nodes.groupBy(*on).agg(F.sort_array(F.collect_set("blk")).alias("there"))
+    met = nodes.join(there, on).groupBy("component", "blk", "node").agg(F.array_distinct(F.flatten(F.collect_set("there"))).alias("there"))
+    pairs = met.withColumn("o", F.explode("there")).select(grp, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", rep)
     return small.unionAll(pairs)
 
 

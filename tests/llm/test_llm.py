@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from loxodrome.llm import op01_imatch, op02_quality, op03_bpe, op04_jaccard, op05_packing, op06_lines, op07_pst, op08_suffix, op09_toxicity, op10_debruijn
 from loxodrome.llm.bpe import TrieBpe
-from loxodrome.llm.graph import components
+from loxodrome.llm.graph import components, contracted
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -298,6 +298,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
 
 
+def test_contraction():
+    random_ = np.random.default_rng(2)
+    a, b = random_.integers(0, 400, (2, 260))
+    top = np.arange(400)
+    for _ in range(400):
+        for x, y in zip(a, b, strict=True):
+            top[x] = top[y] = min(top[x], top[y])
+    nodes, roots = contracted(a, b)
+    assert dict(zip(nodes, roots, strict=True)) == {i: t for i, t in enumerate(top) if i != t}
+    assert [x.tolist() for x in contracted(nodes, roots)] == [nodes.tolist(), roots.tolist()]
+
+
 # 1: fingerprints
 
 
