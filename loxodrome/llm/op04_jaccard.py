@@ -325,18 +325,15 @@ def _dealt(groups: DataFrame, reps: DataFrame, depth: int, done: DataFrame | Non
     if done is not None:
         met = done.select("node", F.lit(True).alias("met"))
         sized = sized.join(met, "node", "left").where("n > 2 OR met IS NULL")
-    zero = F.lit(0)
-    grp, rep = F.col("component").alias("grp"), F.col("node").alias("rep")
-    small = sized.where("blocks <= 1").select(grp, zero.alias("i"), zero.alias("j"), zero.alias("blk"), rep)
-    large = sized.where("blocks > 1").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    paths = large.join(reps.select(F.col("rep").alias("node"), "sig"), "node").select("component", "blk", "node", F.posexplode("sig").alias("tree", "path"))
+    dealt = sized.withColumn("blk", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
+    paths = dealt.join(reps.select(F.col("rep").alias("node"), "sig"), "node").select("component", "blk", "node", F.posexplode("sig").alias("tree", "path"))
     nodes = paths.withColumn("path", F.shiftrightunsigned("path", 64 - SYMBOL * depth))
     on = ["component", "tree", "path"]
     # a row for each text and tree node: the blocks of a node are one value, and a text's equal ones are counted once
     there = nodes.groupBy(*on).agg(F.sort_array(F.collect_set("blk")).alias("there"))
     met = nodes.join(there, on).groupBy("component", "blk", "node").agg(F.array_distinct(F.flatten(F.collect_set("there"))).alias("there"))
-    pairs = met.withColumn("o", F.explode("there")).select(grp, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", rep)
-    return small.unionAll(pairs)
+    at = [F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j")]
+    return met.withColumn("o", F.explode("there")).select(F.col("component").alias("grp"), *at, "blk", F.col("node").alias("rep"))
 
 
 def _checked(rows: DataFrame, reps: DataFrame, threshold: float, target: float) -> DataFrame:
