@@ -29,28 +29,57 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[top[rest]]
 
 
+#: Edges that a task holds at a time while it contracts them.
+HELD = 1_000_000
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
-    """The edges (a, b) with those of each Arrow batch made stars; a bounded number at a time, and never more than before."""
+    """The edges (a, b) of each partition made stars, a bounded number at a time; never more than before."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        room = HELD
         for batch in batches:
-            if batch.num_rows:
-                a, b = contracted(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            room -= batch.num_rows
+            if room <= 0:
+                a, b = contracted(*map(np.concatenate, zip(*held, strict=True)))
+                held, room = [(a, b)], HELD - len(a)
+                if room < HELD // 2:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    held, room = [], HELD
+        if held:
+            a, b = contracted(*map(np.concatenate, zip(*held, strict=True)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """A written table of fewer edges with the same components as the table `edges`: each pass deals HELD edges to a task, until one spares less than half of them."""
+    now, last = edges.where("a <> b").select("a", "b"), None
+    n = now.count()
+    while True:
+        counted = Observation()
+        now = written(_contracted(now.coalesce(n // HELD + 1)).observe(counted, F.count("*").alias("n")))
+        if last is not None:
+            discard(last)
+        before, n, last = n, counted.get["n"], now
+        if 2 * n >= before:
+            return now
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes of `edges` (a, b); a component's name is its least node.
 
     Alternates large-star and small-star steps: each node's neighbours are hung on its least neighbour, first the larger ones and
     then the smaller ones, until every node hangs on its component's least node. Every round is written to the shared
     folder, with the edges of each batch contracted to stars, which saves rounds and leaves settled stars as they are. Least
-    neighbours are combined before the shuffle, and a hub's edges make a skewed join, split at run time.
+    neighbours are combined before the shuffle, and a hub's edges make a skewed join, split at run time. Before the rounds
+    the edges are made a forest, a bounded number at a time, so that the joins see a few edges for each node.
     """
     a, b = F.col("a"), F.col("b")
-    now = written(_contracted(edges.where("a <> b")))
+    now = _forest(edges)
     before = None
     for _ in range(most_rounds):
         both = now.select("a", "b").unionAll(now.select(b.alias("a"), a.alias("b")))
