@@ -33,21 +33,21 @@ def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 HELD = 1_000_000
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """The edges (a, b) of each partition made stars, a bounded number at a time; never more than before."""
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """The edges (a, b) of each partition made stars, `most` at a time; never more than before."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        room = HELD
+        room = most
         for batch in batches:
             held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
             room -= batch.num_rows
             if room <= 0:
                 a, b = contracted(*map(np.concatenate, zip(*held, strict=True)))
-                held, room = [(a, b)], HELD - len(a)
-                if room < HELD // 2:
+                held, room = [(a, b)], most - len(a)
+                if room < most // 2:
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-                    held, room = [], HELD
+                    held, room = [], most
         if held:
             a, b = contracted(*map(np.concatenate, zip(*held, strict=True)))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -55,31 +55,42 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """A written table of fewer edges with the same components as the table `edges`: each pass deals HELD edges to a task, until one spares less than half of them."""
+def _forest(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """A written table of fewer edges with the same components as the table `edges`, and whether it is settled.
+
+    Each pass deals `most` edges to a task and stops where one spares less than half of them; what a single task has held is settled.
+    """
     now, last = edges.where("a <> b").select("a", "b"), None
     n = now.count()
     while True:
-        counted = Observation()
-        now = written(_contracted(now.coalesce(n // HELD + 1)).observe(counted, F.count("*").alias("n")))
+        tasks, counted = n // most + 1, Observation()
+        now = written(_contracted(now.coalesce(tasks), most).observe(counted, F.count("*").alias("n")))
         if last is not None:
             discard(last)
         before, n, last = n, counted.get["n"], now
-        if 2 * n >= before:
-            return now
+        if tasks == 1 or 2 * n >= before:
+            return now, tasks == 1
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    """(node, component) of stars."""
+    node, top = F.col("a"), F.col("b").alias("component")
+    return stars.select(node.alias("node"), top).unionAll(stars.select(F.col("b").alias("node"), top).distinct())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes of `edges` (a, b); a component's name is its least node.
+def components(edges: DataFrame, most_rounds: int = 60, most: int = HELD) -> DataFrame:
+    """(node, component) of all nodes of the table `edges` (a, b); a component's name is its least node.
 
-    Alternates large-star and small-star steps: each node's neighbours are hung on its least neighbour, first the larger ones and
-    then the smaller ones, until every node hangs on its component's least node. Every round is written to the shared
-    folder, with the edges of each batch contracted to stars, which saves rounds and leaves settled stars as they are. Least
-    neighbours are combined before the shuffle, and a hub's edges make a skewed join, split at run time. Before the rounds
-    the edges are made a forest, a bounded number at a time, so that the joins see a few edges for each node.
+    The edges are first made a forest, at most `most` of them in a task at a time, in as many tasks as they need. What that leaves in many
+    tasks goes through large-star and small-star steps: each node's neighbours are hung on its least neighbour, first
+    the larger ones and then the smaller ones, until every node hangs on its component's least node. Every round is written to
+    the shared folder, with the edges of each task contracted to stars, which saves rounds and leaves settled stars as they are. Least
+    neighbours are combined before the shuffle, and a hub's edges make a skewed join, split at run time.
     """
     a, b = F.col("a"), F.col("b")
-    now = _forest(edges)
+    now, settled = _forest(edges, most)
+    if settled:
+        return _named(now)
     before = None
     for _ in range(most_rounds):
         both = now.select("a", "b").unionAll(now.select(b.alias("a"), a.alias("b")))
@@ -90,7 +101,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hung = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         counted = Observation()
         sums = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))
-        last, now = now, written(_contracted(hung).observe(counted, F.count("*").alias("n"), sums.alias("h")))
+        last, now = now, written(_contracted(hung, most).observe(counted, F.count("*").alias("n"), sums.alias("h")))
         discard(last)
         seen = counted.get
         if seen == before:
@@ -98,4 +109,4 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = seen
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(a.alias("node"), b.alias("component")).unionAll(now.select(b.alias("node"), b.alias("component")).distinct())
+    return _named(now)

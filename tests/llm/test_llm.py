@@ -292,10 +292,13 @@ def test_a_text_goes_to_the_blocks_in_which_it_meets_another(spark, monkeypatch)
     assert all(r["n_links"] == sum((r["doc_id"] + d < 1000) + (r["doc_id"] >= d) for d in want) for r in out)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (102, 103)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+@pytest.mark.parametrize("most", [5, 1000])
+def test_components(spark, most):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (102, 103), (7, 7)]
+    table_ = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in components(table_, most=most).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
+    assert components(table_.limit(0), most=most).count() == 0
 
 
 def test_contraction():
