@@ -30,7 +30,7 @@ TREES, DEPTH, SYMBOL = 32, 8, 8
 #: Least probability with which a link at the threshold is found at the first depth.
 FIRST = 0.9
 #: Texts and characters of a block, on average; larger groups are dealt to pairs of blocks.
-BLOCK, BLOCK_CHARS = 128, 16_000_000
+BLOCK, BLOCK_CHARS = 512, 16_000_000
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
      g AS (SELECT array_to_string(ws, ' ') AS txt, min(doc_id) AS text_id, count(*) AS n_copies, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY 1),
