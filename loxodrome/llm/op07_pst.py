@@ -8,7 +8,8 @@ context takes part from its second occurrence on, at any size of corpus, so stat
 written tables.
 
 Scoring looks sequences up in those tables: a slice of texts asks each bucket of the tables once for every distinct sequence, and
-the answers come back to the slice's plan. Workers hold the most frequent entries and a bit filter of all longer ones,
+the answers come back to the slice's plan. A part of the slices asks at a time, and what is learned from is joined by parts, so that disk
+holds no more than a part of either. Workers hold the most frequent entries and a bit filter of all longer ones,
 both bounded; these save lookups and don't change results.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, fan_out, in_fold, released, slices, table, written
+from .common import discard, fan_out, gathered, in_fold, released, slices, table, written
 from .spans import _MEMO, keyed, mixed
 
 ORACLE_SQL = None
@@ -34,14 +36,15 @@ DEPTH = 4
 CONTEXT_COUNT, PAIR_COUNT = 2, 2
 #: Entries of at least this share of the training tokens are held by workers; all others are looked up.
 HOT_SHARE = 5e-7
-#: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); a fuller filter only lets more lookups through.
-FILTER_BITS, MOST_BITS = 16, 27
+#: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); beyond that LEAST_BITS for each entry, up to four times as many
+#: in all (64 MB). A fuller filter only lets more lookups through.
+FILTER_BITS, MOST_BITS, LEAST_BITS = 16, 27, 4
 #: Training tokens for each bucket of the counting, and entries for each bucket of the lookups.
 BUCKET_TOKENS, BUCKET_ENTRIES = 1_000_000, 250_000
 #: Share of the training tokens from which the pairs of one context are dealt to many buckets; there are at most 4000 such contexts a length.
 HOT_CONTEXT = 1 / 4000
-#: Parts of the buckets that are looked up one after the other.
-ROUNDS = 3
+#: Parts in which slices look sequences up, and parts in which tables are joined, one after the other.
+ROUNDS, JOINS = 4, 2
 #: Least divergence (nats) of a state from its suffix, and the count that is left over from each stored word.
 LEAST_DIVERGENCE, DISCOUNT = 0.01, 0.5
 END = b""
@@ -169,6 +172,7 @@ def filter_of(entries: DataFrame) -> np.ndarray | None:
     if not n:
         return None
     power = min(MOST_BITS, max(15, math.ceil(math.log2(FILTER_BITS * n))))
+    power = min(MOST_BITS + 2, max(power, math.ceil(math.log2(LEAST_BITS * n))))
     at = entries.select(F.expr(f"g & {(1 << power) - 1}L").alias("at")).select(F.expr("shiftright(at, 15)").alias("part"), F.expr("at & 32767L").alias("bit"))
     with released(entries.sparkSession):
         parts = at.repartition("part").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toArrow()
@@ -267,9 +271,23 @@ def grown(tokens: DataFrame, before: DataFrame, length: int, n: int) -> DataFram
     if bits is None:
         return None
     pairs = written(followers(tokens, contexts, bits, length, n))
-    parents = before.where(F.col("c") >= PAIR_COUNT).select(F.col("g").alias("up"), F.col("r").cast("double").alias("q"))
-    varied = pairs.groupBy("ctx").agg(F.max("top").alias("top"), F.max("total").alias("total")).where("top < total").select(F.col("ctx").alias("up"), F.lit(True).alias("open"))
-    seen = pairs.join(parents, "up").join(varied, "up", "left")
+    parents = before.where(F.col("c") >= PAIR_COUNT).select(F.col("g").alias("up"), F.col("r").alias("q"))
+
+    def with_parents(k: int) -> DataFrame:
+        varied = pairs.where(part_of("ctx", k)).groupBy("ctx").agg(F.max("top").alias("top"), F.max("total").alias("total")).where("top < total").select(F.col("ctx").alias("up"), F.lit(True).alias("open"))
+        found = pairs.where(part_of("up", k)).join(parents.where(part_of("up", k)), "up").join(varied, "up", "left")
+        return found.select("g", "ctx", "c", "total", "q", "open")
+
+    seen = gathered(with_parents(k) for k in range(JOINS))
+    discard(pairs)
+    level = gathered(_states(seen.where(part_of("ctx", k))) for k in range(JOINS))
+    discard(seen)
+    return level
+
+
+def _states(seen: DataFrame) -> DataFrame:
+    """The level's rows from (g, ctx, c, total, q, open): pairs with the probability that their suffix gives; all pairs of a context are in it."""
+    seen = seen.withColumn("q", F.col("q").cast("double"))
     own, p, of = F.col("c") / F.col("total"), (F.col("c") - DISCOUNT) / F.col("total"), Window.partitionBy("ctx")
     least = lambda x: F.greatest(1 - F.sum(x).over(of), F.lit(1e-12))
     each = seen.select("*", p.alias("p"), F.sum(own * F.log(own / F.col("q"))).over(of).alias("d"), least(own).alias("rest"), least(F.col("q")).alias("rest_q"), least(p).alias("left"), (F.min("g").over(of) == F.col("g")).alias("is_first"))
@@ -277,9 +295,12 @@ def grown(tokens: DataFrame, before: DataFrame, length: int, n: int) -> DataFram
     each = each.withColumn("b", F.when(is_state, F.log10("left")))
     each = each.withColumn("r", F.when(F.col("b").isNull(), F.col("q")).otherwise(F.col("p") + F.col("left") * F.col("q")))
     each = each.withColumn("a", F.when(F.col("b").isNotNull(), F.log10("r") - F.log10("q") - F.col("b")))
-    level = written(each.select("g", "c", F.col("r").cast("float").alias("r"), F.col("a").cast("float").alias("a"), F.coalesce("open", F.lit(False)).alias("open"), "is_first", F.when(F.col("is_first"), F.col("ctx")).alias("ctx"), F.when(F.col("is_first"), F.col("total")).alias("total"), F.when(F.col("is_first"), F.col("b").cast("float")).alias("b")))
-    discard(pairs)
-    return level
+    return each.select("g", "c", F.col("r").cast("float").alias("r"), F.col("a").cast("float").alias("a"), F.coalesce("open", F.lit(False)).alias("open"), "is_first", F.when(F.col("is_first"), F.col("ctx")).alias("ctx"), F.when(F.col("is_first"), F.col("total")).alias("total"), F.when(F.col("is_first"), F.col("b").cast("float")).alias("b"))
+
+
+def part_of(column: str, k: int) -> Column:
+    """Whether a row's hash is in the part `k` of JOINS."""
+    return F.pmod(F.col(column), F.lit(JOINS)) == k
 
 
 class Tree:
@@ -351,7 +372,8 @@ def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
     together = parts[0]
     for part in parts[1:]:
         together = together.unionAll(part)
-    tree.entries = written(together.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")))
+    own = (together.where(part_of("g", k)) for k in range(JOINS))
+    tree.entries = gathered(x.groupBy("g").agg(F.max("words").alias("words"), F.max("c").alias("c"), F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")) for x in own)
     discard(*tables)
     return tree, tree.entries
 
@@ -359,13 +381,12 @@ def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
 _PLAN = ("i8", "i8", "i8", "f8", "f8", "i4", "i4", "u4", "u4")
 
 
-def _asked(tokens: DataFrame, held: tuple, deepest: int, low: float, buckets: int) -> DataFrame:
+def _asked(tokens: DataFrame, shared, deepest: int, low: float, buckets: int) -> DataFrame:
     """Rows (batch, bucket, blob) of slices of texts: what a slice asks each bucket (distinct sequences), and under bucket -1 its plan.
 
     A plan has of each text its key, tokens, known tokens and the two sums as far as workers know them, the numbers of its lookups of words and of
-    longer sequences, and then the lookups as places among all distinct sequences of the slice.
+    longer sequences, and then the lookups as places among all distinct sequences of the slice. `shared` is the broadcast of what workers hold.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(held)
 
     def held_ones(own: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(own, wanted), max(len(own) - 1, 0))
@@ -425,15 +446,28 @@ def _asked(tokens: DataFrame, held: tuple, deepest: int, low: float, buckets: in
     return tokens.mapInArrow(run, "batch bigint, bucket bigint, blob binary")
 
 
-def _answered(asked: DataFrame, entries: DataFrame, buckets: int) -> DataFrame:
-    """Answers (batch, bucket, blob) to what is asked: count (of words; 0 for what is unknown) and value of each sequence, in the order of the question."""
+def bucketed(entries: DataFrame, buckets: int) -> DataFrame:
+    """Written table (bucket, known): the entries of each bucket in one string, sorted: steps between their hashes byte by byte, counts of words, values."""
     value = (F.col("a") + F.col("b")).cast("float").alias("value")
     known = entries.select(F.expr(f"pmod(g, {buckets}L)").alias("bucket"), "g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), value)
 
+    def pack(own: pa.Table) -> pa.Table:
+        g, counts, values = (own[c].to_numpy() for c in ("g", "c", "value"))
+        order = np.argsort(g)
+        planes = np.diff(g[order], prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+        return pa.table({"bucket": own["bucket"][:1], "known": pa.array([_blob(np.ascontiguousarray(planes), counts[order], values[order])], pa.binary())})
+
+    return gathered(known.where(part_of("bucket", k)).groupBy("bucket").applyInArrow(pack, "bucket bigint, known binary") for k in range(JOINS))
+
+
+def _answered(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Answers (batch, bucket, blob) to what is asked: count (of words; 0 for what is unknown) and value of each sequence, in the order of the question."""
+
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-        own, counts, values = (known[c].to_numpy() for c in ("g", "c", "value"))
-        order = np.argsort(own)
-        own, counts, values = own[order], counts[order], values[order]
+        own = np.zeros(0, np.int64)
+        for blob in known["known"].to_pylist():
+            planes, counts, values = _arrays(blob, "u1", "i8", "f4")
+            own = np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel())
         blobs = []
         for blob in asks["blob"].to_pylist():
             wanted = np.frombuffer(blob, np.int64)
@@ -457,7 +491,8 @@ def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
     """
     inside = isinstance(training, Column)
     rows = keyed(docs.select("doc_id", "text"))
-    tokens = written(tokenised(rows.withColumn("learned", F.coalesce(training, F.lit(False)) if inside else F.lit(False))))
+    tokens = tokenised(rows.withColumn("learned", F.coalesce(training, F.lit(False)) if inside else F.lit(False)))
+    tokens = written(tokens.withColumn("part", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(ROUNDS))))
     tree, entries = learned_from(tokens) if inside else learn(training)
     n, v = tree.n if tree.v else 0, tree.v
     low, unknown = math.log10(n + 0.5 * (v + 1)), tree.unknown()
@@ -465,13 +500,8 @@ def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
     with released(docs.sparkSession):
         hot = entries.where(F.col("c") >= max(2, HOT_SHARE * n)).select("g", F.when(F.col("words") == 1, F.col("c")).otherwise(0).alias("c"), (F.col("a") + F.col("b")).cast("double").alias("value")).orderBy("g").toArrow()
     held = (*(hot[k].to_numpy() for k in ("g", "c", "value")), filter_of(entries.where("words > 1")))
-    asked = written(_asked(tokens, held, len(tree.contexts) + 1, low, buckets))
-    discard(tokens)
-    # in rounds, so that a part of the tables is shuffled at a time
-    answers = None
-    for k in range(ROUNDS):
-        own = written(_answered(asked.where(F.pmod("bucket", F.lit(ROUNDS)) == k), entries.where(F.pmod(F.expr(f"pmod(g, {buckets}L)"), F.lit(ROUNDS)) == k), buckets))
-        answers = own if answers is None else answers.unionByName(own)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    known = bucketed(entries, buckets)
     discard(entries)
 
     def total(own: pa.Table) -> pa.Table:
@@ -489,8 +519,15 @@ def scores(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
                 known += np.bincount(of, counts[places] > 0, len(rid)).astype(np.int64)
         return pa.table({"rid": pa.array(rid), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
-    plans = asked.where("bucket < 0").unionByName(answers)
-    out = plans.groupBy("batch").applyInArrow(total, "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    def in_rounds() -> Iterator[DataFrame]:
+        for k in range(ROUNDS):
+            asked = written(_asked(tokens.where(F.col("part") == k).select("slice"), shared, len(tree.contexts) + 1, low, buckets))
+            answers = written(_answered(asked, known))
+            yield asked.where("bucket < 0").unionByName(answers).groupBy("batch").applyInArrow(total, "rid bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+            discard(asked, answers)
+
+    out = gathered(in_rounds())
+    discard(tokens, known)
     return rows.select("rid", "doc_id").join(out, "rid").select("doc_id", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 

@@ -485,6 +485,28 @@ def test_suffix_tree_scores_equal_the_definition(spark):
     assert sorted(inside) == pytest.approx(sorted(out[i] for i, _ in data))
 
 
+def test_a_part_of_the_slices_asks_at_a_time(spark, monkeypatch):
+    data = [(i, f"alpha beta gamma x{i % 7} delta") for i in range(64)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(16)
+    asking, run = [], op07_pst._asked
+
+    def counted(tokens, *rest):
+        asking.append(tokens.count())
+        return run(tokens, *rest)
+
+    monkeypatch.setattr(op07_pst, "_asked", counted)
+    assert op07_pst.scores(docs, F.lit(True)).count() == 64
+    assert sum(asking) >= 8 and max(asking) <= sum(asking) / 2
+
+
+def test_a_filter_grows_with_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(op07_pst, "MOST_BITS", 15)
+    bits = op07_pst.filter_of(spark.range(20_000).select(F.xxhash64("id").alias("g")))
+    assert np.unpackbits(bits).mean() < 0.3
+    asked = np.array([x["g"] for x in spark.range(20_000).select(F.xxhash64("id").alias("g")).collect()], np.int64).view(np.uint64)
+    assert op07_pst.passes(bits, asked).all()
+
+
 # 9: toxicity
 
 
