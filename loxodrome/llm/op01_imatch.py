@@ -72,12 +72,18 @@ def in_order(docs: DataFrame) -> DataFrame:
     return rows.unionByName(copies).withColumn("place", F.row_number().over(own)).withColumn("following", F.coalesce(F.lead("text").over(own), F.lit("")))
 
 
+def once(value: Column, of) -> Column:
+    """`of(value)` with the value computed once a row; an expression that a lambda mentions is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def subsets(found: Column) -> Column:
     """Of sorted terms: for each family the hashes of the terms in its subsets, from the largest subset on until none is left."""
     half = CELLS // 2
-    cell = F.transform(found, lambda t: F.shiftright(t, 64 - CELL_BITS))
     # sorted terms of one family stand together
-    families = F.transform(F.sequence(F.lit(-half).cast("bigint"), F.lit(half - 1).cast("bigint")), lambda c: F.struct(F.array_position(cell, c).cast("int").alias("at"), (F.size(cell) - F.size(F.array_remove(cell, c))).alias("n")))
+    cells = F.sequence(F.lit(-half).cast("bigint"), F.lit(half - 1).cast("bigint"))
+    place = lambda cell, c: F.struct(F.array_position(cell, c).cast("int").alias("at"), (F.size(cell) - F.size(F.array_remove(cell, c))).alias("n"))
+    families = once(F.transform(found, lambda t: F.shiftright(t, 64 - CELL_BITS)), lambda cell: F.transform(cells, lambda c: place(cell, c)))
 
     def family(x: Column) -> Column:
         def step(state: Column, scale: Column) -> Column:
@@ -101,9 +107,10 @@ def _likeness(a: str, b: str) -> Column:
     """
     unequal = lambda x, y: F.greatest(F.size(x), F.size(y)) - F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
     each = F.zip_with(f"{a}_sets", f"{b}_sets", unequal)
-    same = F.size(F.filter(each, lambda m: m == 0))
-    many = 0.709 * CELLS * CELLS / F.aggregate(each, F.lit(0.0), lambda s, m: s + F.pow(F.lit(0.5), m))
-    differing = F.when((many <= 2.5 * CELLS) & (same > 0), CELLS * F.log(CELLS / same)).otherwise(many)
+    same = lambda each: F.size(F.filter(each, lambda m: m == 0))
+    many = lambda each: 0.709 * CELLS * CELLS / F.aggregate(each, F.lit(0.0), lambda s, m: s + F.pow(F.lit(0.5), m))
+    fewer = lambda x: F.when((x.many <= 2.5 * CELLS) & (x.same > 0), CELLS * F.log(CELLS / x.same)).otherwise(x.many)
+    differing = once(once(each, lambda x: F.struct(many(x).alias("many"), same(x).alias("same"))), fewer)
     both = F.col(f"{a}_n") + F.col(f"{b}_n")
     estimate = F.greatest(F.lit(0.0), (both - differing) / (both + differing))
     return F.when(F.col(f"{a}_print") == F.col(f"{b}_print"), 1.0).when((F.col(f"{a}_n") == 0) | (F.col(f"{b}_n") == 0), 0.0).otherwise(F.coalesce(estimate, F.lit(0.0)))
@@ -134,7 +141,7 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
     mine = lambda i: F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("t"))))
     out = found.groupBy("bucket", "place").agg(F.first("about", ignorenulls=True).alias("about"), mine(0).alias("own"), mine(1).alias("edited"))
     out = out.select("bucket", "place", "about", "own", "edited", subsets(F.col("own")).alias("own_sets"), subsets(F.col("edited")).alias("edited_sets"))
-    sign = lambda s: F.concat_ws("-", F.lpad(F.hex(F.when(F.size(s) > 0, F.xxhash64(s)).otherwise(F.col(f"about.{s}"))), 16, "0"), F.hex(F.size(s)), F.array_join(F.transform(f"{s}_sets", lambda own: F.array_join(F.transform(own, lambda x: F.right(F.hex(x), F.lit(8))), ".")), "-"))
+    sign = lambda s: F.concat_ws("-", F.lpad(F.hex(F.when(F.size(s) > 0, F.xxhash64(s)).otherwise(F.col(f"about.{s}"))), 16, "0"), F.hex(F.size(s)), F.array_join(F.transform(f"{s}_sets", lambda own: F.array_join(F.transform(own, lambda x: F.substring(F.hex(x), -8, 8)), ".")), "-"))
     out = out.select("bucket", "place", "about", *[c for s in ("own", "edited") for c in (F.size(s).alias(f"{s}_n"), f"{s}_sets", sign(s).alias(f"{s}_print"))])
     after = Window.partitionBy("bucket").orderBy("place")
     out = out.select("*", *[F.lead(f"own_{c}").over(after).alias(f"following_{c}") for c in ("n", "sets", "print")]).where("about.copy = 0")

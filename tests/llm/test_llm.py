@@ -348,6 +348,19 @@ def test_every_band_term_of_a_long_text_counts(spark):
     assert 0.99 < out[3] < 1
 
 
+def test_families_are_found_by_one_pass_over_the_terms(spark):
+    r = random.Random(3)
+    own = spark.createDataFrame([(sorted(r.randrange(-(2**63), 2**63) for _ in range(100)),), ([],)], "found array<bigint>")
+    made = own.select("found", op01_imatch.subsets(F.col("found")).alias("sets"), F.transform("found", lambda t: F.xxhash64(F.array(t))).alias("single"))
+    assert made._jdf.queryExecution().analyzed().toString().count("shiftright") == 1
+    full, none = made.collect()
+    cells = Counter(t >> 58 for t in full["found"])
+    assert [len(x) > 0 for x in full["sets"]] == [c in cells for c in range(-32, 32)]
+    alone = {t >> 58: h for t, h in zip(full["found"], full["single"], strict=True) if cells[t >> 58] == 1}
+    assert all(full["sets"][c + 32][0] == h for c, h in alone.items())
+    assert not any(none["sets"])
+
+
 # 2: quality
 
 
