@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, slices, table, words_of, written
-from .spans import Minimisers, confirmed, joined, keyed, merged, mixed, repeated_positions
+from .spans import WINDOW_CHARS, Minimisers, confirmed, joined, keyed, merged, mixed, repeated_positions
 
 K, WINDOW = 12, 35
 
@@ -40,7 +40,7 @@ def _occurrences(docs: DataFrame, k: int, window: int) -> DataFrame:
     """Owners (nh, rid, p) of all windows, each with the edge `eh` to the next owner of its text at `q`, if any."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=WINDOW_CHARS):
             m = Minimisers(part["text"], k, window)
             at = m.selected
             doc = m.doc[at]
@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
     discard(kept, edges)
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, most=WINDOW_CHARS):
             m = Minimisers(part["text"], k, window)
             h1 = m.rolling.stretch(m.window_at, m.window_at + window)
             sizes = [len(x) for x in part["p"]]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -165,6 +166,20 @@ def test_suffix_array(spark, docs, rows):
         assert words(r["text"]) == [x for i, x in enumerate(words(rows[r["doc_id"]][1])) if i not in later[r["doc_id"]]]
 
 
+@pytest.mark.parametrize("module, made", [(op08_suffix, op08_suffix._suffixes), (op08_suffix, op08_suffix._with_windows), (op10_debruijn, op10_debruijn._occurrences)])
+def test_a_worker_takes_minimisers_of_a_bounded_slice(monkeypatch, module, made):
+    class Rows:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    taken, make = [], module.Minimisers
+    monkeypatch.setattr(module, "Minimisers", lambda texts, *rest: taken.append(sum(map(len, texts))) or make(texts, *rest))
+    texts = [f"word{i} other{i} " * 6000 for i in range(30)]
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(30)), "text": texts, "ps": [[0]] * 30})
+    assert sum(out.num_rows for out in made(Rows(), 8, 50)([batch]))
+    assert sum(taken) == sum(map(len, texts)) and max(taken) <= 1_000_000
+
+
 @pytest.mark.parametrize("copies", [2, 3])
 def test_repeated_and_null_ids(spark, copies):
     text = " ".join(f"w{i}" for i in range(60))
