@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from loxodrome.llm import op01_imatch, op02_quality, op03_bpe, op04_jaccard, op05_packing, op06_lines, op07_pst, op08_suffix, op09_toxicity, op10_debruijn
 from loxodrome.llm.bpe import TrieBpe
 from loxodrome.llm.graph import components, contracted
+from loxodrome.llm.spans import merged, merged_lists
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -166,6 +167,23 @@ def test_suffix_array(spark, docs, rows):
         assert words(r["text"]) == [x for i, x in enumerate(words(rows[r["doc_id"]][1])) if i not in later[r["doc_id"]]]
 
 
+def test_spans_are_merged_before_a_worker_holds_them(spark):
+    text = " ".join(f"w{i}" for i in range(4000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, f"{text} end"), (4, "short")], "doc_id bigint, text string")
+    own = op08_suffix.repeated_spans(docs.withColumnRenamed("doc_id", "rid")).collect()
+    assert [[[len(r[c]) for c in ("later", "first")] for r in sorted(own)]] == [[[0, 1], [1, 0], [1, 0]]]
+    assert not any(op08_suffix.suffix_dedup(docs)._jdf.queryExecution().toString().count(x) for x in ("MapInArrow", "ArrowEvalPython"))
+
+
+def test_merged_lists_equal_the_union_of_each_row():
+    r = random.Random(4)
+    lists = [[(a := r.randrange(300), a + r.randint(1, 30)) for _ in range(r.randrange(12))] for _ in range(200)] + [[], [(0, 5), (5, 9)]]
+    kind = pa.list_(pa.struct({"a": pa.int32(), "b": pa.int32()}))
+    array = pa.array([[{"a": a, "b": b} for a, b in own] for own in lists], kind)
+    for own, want in ((array, lists), (array.slice(7, 50), lists[7:57]), (array.slice(0, 0), [])):
+        assert [[(x["start"], x["end"]) for x in row] for row in merged_lists(own).to_pylist()] == [merged(x) for x in want]
+
+
 @pytest.mark.parametrize("module, made", [(op08_suffix, op08_suffix._suffixes), (op08_suffix, op08_suffix._with_windows), (op10_debruijn, op10_debruijn._occurrences)])
 def test_a_worker_takes_minimisers_of_a_bounded_slice(monkeypatch, module, made):
     class Rows:
