@@ -531,6 +531,25 @@ def test_suffix_tree_scores_equal_the_definition(spark):
     assert sorted(inside) == pytest.approx(sorted(out[i] for i, _ in data))
 
 
+def test_suffix_tree_states_do_not_depend_on_the_filter(spark, monkeypatch):
+    r = random.Random(3)
+    phrases = [[f"w{r.randrange(60)}" for _ in range(6)] for _ in range(12)]
+    data = [(i, " ".join(w for _ in range(8) for w in r.choice(phrases)[: r.randint(2, 6)])) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    exact = {x["doc_id"]: x["score"] for x in op07_pst.scores(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(op07_pst, "passes", lambda bits, grams: np.ones(len(grams), bool))
+    full = {x["doc_id"]: x["score"] for x in op07_pst.scores(docs, F.lit(True)).collect()}
+    assert full == pytest.approx(exact)
+
+
+def test_suffix_tree_learns_from_packed_buckets(spark):
+    r = random.Random(4)
+    data = [(" ".join(f"w{r.randrange(400)}" for _ in range(3000)),) for _ in range(40)]
+    tokens = op07_pst.written(op07_pst.tokenised(spark.createDataFrame(data, "text string").selectExpr("0 AS rid", "text", "true AS learned")))
+    tree, known = op07_pst.learned_from(tokens)
+    assert tree.entries.count() > 20_000 and known.count() <= 4
+
+
 def test_a_part_of_the_slices_asks_at_a_time(spark, monkeypatch):
     data = [(i, f"alpha beta gamma x{i % 7} delta") for i in range(64)]
     docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(16)
