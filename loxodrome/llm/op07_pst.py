@@ -41,8 +41,8 @@ HOT_SHARE = 5e-7
 #: Bits of a filter: at least so many for each entry, up to 2**27 in all (16 MB); beyond that LEAST_BITS for each entry, up to four times as many
 #: in all (64 MB). A fuller filter only lets more lookups through.
 FILTER_BITS, MOST_BITS, LEAST_BITS = 16, 27, 4
-#: Training tokens for each bucket of the counting and of the lookups.
-BUCKET_TOKENS = 1_000_000
+#: Training tokens for each bucket of the counting and of the lookups, and buckets that a small table has at most. Pairs travel from every bucket to every other.
+BUCKET_TOKENS, FEW_BUCKETS = 1_000_000, 12
 #: Share of the training tokens from which the pairs of one context are dealt to many buckets; there are at most 4000 such contexts a length.
 HOT_CONTEXT = 1 / 4000
 #: Parts in which slices look sequences up, and parts in which levels are put together, one after the other.
@@ -242,7 +242,8 @@ def filter_of(entries: DataFrame, n: int | None = None, hashes=lambda batch: [ba
                 at = np.unique((g & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - power)).astype(np.int64)
                 parts, of = np.unique(at >> 15, return_inverse=True)
                 bits = np.zeros((len(parts), 4096), np.uint8)
-                np.bitwise_or.at(bits, (of, at >> 3 & 4095), np.left_shift(1, at & 7).astype(np.uint8))
+                first = np.flatnonzero(np.r_[True, np.diff(at >> 3) > 0])
+                bits[of[first], at[first] >> 3 & 4095] = np.bitwise_or.reduceat(np.left_shift(1, at & 7).astype(np.uint8), first)
                 yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int64()), "bits": pa.array([x.tobytes() for x in bits], pa.binary())})
 
     with released(entries.sparkSession):
@@ -434,11 +435,18 @@ def grown(tokens: DataFrame, before: DataFrame, length: int, tree: Tree, buckets
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], _ROWS)
 
     found = pairs.groupBy("to").cogroup(before.where("kind = 0").groupBy("bucket")).applyInArrow(find, "of bigint, blob binary")
-    level = written(found.groupBy("of").applyInArrow(states, _LEVEL))
+    level = written(found.groupBy("of").applyInArrow(states, _LEVEL).groupBy("bucket", "kind").applyInArrow(_compact, _LEVEL))
     discard(pairs)
     return level
 
 
+def _compact(own: pa.Table) -> pa.Table:
+    """One row of a bucket's rows of one kind."""
+    row = own.slice(0, 1).drop_columns(["n", "most", "blob"]).to_pylist()[0]
+    blob = _blob(*_stacked(own["blob"].to_pylist(), *(_CONTEXTS if row["kind"] else _GRAMS)))
+    return pa.Table.from_pylist([row | {"n": pa.compute.sum(own["n"]).as_py(), "most": pa.compute.max(own["most"]).as_py(), "blob": blob}], _ROWS)
+
+
 def _known(level: pa.Table, discount: float, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and probabilities of a level's sequences that occur often enough; those of words come from their counts."""
     found = [(np.zeros(0, np.uint64), np.zeros(0))]
@@ -504,7 +512,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
 def learned_from(tokens: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of a written table of slices and the written table of its entries in buckets."""
     n = int(tokens.agg(F.sum("n")).first()[0] or 0)
-    buckets = np.uint64(max(fan_out(tokens), n // BUCKET_TOKENS + 1))
+    buckets = np.uint64(max(min(fan_out(tokens), FEW_BUCKETS), n // BUCKET_TOKENS + 1))
     counts = written(unigrams(tokens, buckets))
     tree = Tree(n, *(int(x or 0) for x in counts.agg(F.sum("v"), F.sum("n1"), F.sum("n2")).first()))
     before = counts.select(*_ROWS.names)

@@ -550,6 +550,15 @@ def test_suffix_tree_learns_from_packed_buckets(spark):
     assert tree.entries.count() > 20_000 and known.count() <= 4
 
 
+def test_a_level_has_two_rows_for_each_bucket_at_most(spark, monkeypatch):
+    levels, run = [], op07_pst.grown
+    monkeypatch.setattr(op07_pst, "grown", lambda *given: levels.append(run(*given)) or levels[-1])
+    monkeypatch.setattr(op07_pst, "discard", lambda *tables: None)
+    op07_pst.learn(spark.createDataFrame([(f"a b c d x{i % 5} a b x{i % 3} c",) for i in range(200)], "text string").repartition(8))
+    assert levels[0] is not None
+    assert all(x.groupBy("bucket", "kind").count().where("count > 1").count() == 0 for x in levels if x is not None)
+
+
 def test_a_part_of_the_slices_asks_at_a_time(spark, monkeypatch):
     data = [(i, f"alpha beta gamma x{i % 7} delta") for i in range(64)]
     docs = spark.createDataFrame(data, "doc_id bigint, text string").repartition(16)
