@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geodesy import KM_PER_MILE, KM_PER_NAUTICAL_MILE, let
-from .units import normalize_unit
+from .units import contains_any, normalize_unit
 
 # The pattern of a number with an optional unit, and the words that count for or against a number.
 NUMBER = (
@@ -38,23 +36,30 @@ def number_spans(text: Column) -> Column:
     """Array of structs num, unit (null without), start, end of all matches from left to right; positions count code points from 0.
 
     A match starts at the first digit that is left, or at the sign before it, so its text can't occur between the match before
-    and its place: locating it after that match's end finds its span.
+    and its place: locating it after that match's end finds its span. Texts are searched once: a number ends with its match's last
+    digit, as no unit has one, and the unit is what stands beyond, without the space before it.
     """
-    found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(NUMBER), F.lit(i)).alias(n) for i, n in enumerate(("m", "num", "unit"))])
-    kind = "array<struct<num:string,unit:string,start:int,end:int>>"
 
-    def fold(s: Column, x: Column) -> Column:
-        at = F.call_function("locate", x.m, text, s.at + 1) - 1
-        one = F.struct(x.num.alias("num"), F.nullif(x.unit, F.lit("")).alias("unit"), at.alias("start"), (at + F.length(x.m)).alias("end"))
-        return F.struct(F.concat(s.out, F.array(one)).alias("out"), (at + F.length(x.m)).alias("at"))
+    def fold(s: Column, m: Column) -> Column:
+        last = F.get(s, F.size(s) - 1)
+        start = F.call_function("locate", m, text, F.coalesce(last.start + F.length(last.m), F.lit(0)) + 1) - 1
+        return F.concat(s, F.array(F.struct(m.alias("m"), start.alias("start"))))
+
+    def parts(x: Column) -> Column:
+        def of(num: Column) -> Column:
+            unit = F.when(F.length(num) < F.length(x.m), F.regexp_replace(F.substring(x.m, F.length(num) + 1, F.length(x.m)), r"(?U)^\s+", ""))
+            return F.struct(num.alias("num"), unit.alias("unit"), x.start.alias("start"), (x.start + F.length(x.m)).alias("end"))
+
+        return let(F.regexp_replace(x.m, r"(?U)\D+$", ""), of)
 
-    return F.aggregate(found, F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at")), fold, lambda s: s.out)
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+    return F.transform(F.aggregate(found, F.array().cast("array<struct<m:string,start:int>>"), fold), parts)
 
 
 def _plain(num: Column) -> Column:
     """Without grouping apostrophes and with plain spaces, trimmed."""
-    s = F.regexp_replace(num, "[  ]", " ")
-    return F.regexp_replace(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), "[’']", "")
+    s = F.translate(num, "\u00a0\u202f", "  ")
+    return F.translate(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), "’'", "")
 
 
 def _absolute(text: Column) -> Column:
@@ -82,7 +87,8 @@ def parse_number(num: Column) -> Column:
         )
         return F.array_distinct(F.array_compact(values))
 
-    return let(_plain(num), read)
+    # most numbers are bare digits, perhaps with a point that can't group thousands
+    return F.when(num.rlike(r"^[0-9]+(\.([0-9]{1,2}|[0-9]{4,}))?\z"), F.array(num.try_cast("double"))).otherwise(let(_plain(num), read))
 
 
 def parse_float_locale(num: Column) -> Column:
@@ -110,7 +116,8 @@ def parse_float_locale(num: Column) -> Column:
 def near_any(text: Column, start: Column, window: int, needles) -> Column:
     """Whether one of the lower-case needles stands within `window` characters on either side of `start`."""
     low = F.greatest(start - window, F.lit(0))
-    return F.lower(F.substring(text, low + 1, start + window - low)).rlike("|".join(map(re.escape, needles)))
+    least = [n for n in needles if not any(m != n and m in n for m in needles)]
+    return let(F.lower(F.substring(text, low + 1, start + window - low)), lambda near: contains_any(near, least))
 
 
 def interpretations(value: Column) -> Column:
@@ -125,36 +132,40 @@ def _points(hit: Column, points: int) -> Column:
 def extract_candidates(text: Column, tail_chars: int = TAIL_CHARS) -> Column:
     """Array of candidates: raw_value, unit_raw, unit_norm, start, end, context, score, score_detail, km_interps."""
 
+    features = ("tail_bias", *[x[0] for x in FEATURES])
+
     def one(m: Column) -> Column:
-        unit = normalize_unit(m.unit)
         shared = F.struct(
-            _points(unit.isNotNull(), UNIT_BONUS).alias("unit_bonus"),
+            normalize_unit(m.unit).alias("unit_norm"),
             *[_points(near_any(text, m.start, window, words), points).alias(name) for name, words, window, points in FEATURES],
             _points(m.start > F.length(text) - tail_chars, TAIL_BONUS).alias("tail_bias"),
-            unit.alias("unit_norm"),
             parse_number(m.num).alias("values"),
         )
 
         def of(s: Column) -> Column:
+            named = _points(s.unit_norm.isNotNull(), UNIT_BONUS)
+            ambiguous = _points(F.size(s["values"]) > 1, 0)
+            low = F.greatest(m.start - CONTEXT_CHARS, F.lit(0))
+            score = F.coalesce(named, F.lit(0))
+            for n in features:
+                score = score + F.coalesce(s[n], F.lit(0))
+
             def reading(v: Column) -> Column:
                 tiny = _points(v < TINY_KM, TINY_PENALTY)
-                ambiguous = _points(F.size(s["values"]) > 1, 0)
-                detail = F.struct(*[(tiny if n == "tiny_penalty" else ambiguous if n == "ambig_sep" else F.lit(None).cast("int") if n == "close_to_gt" else s[n]).alias(n) for n in BREAKDOWN])
-                score = F.coalesce(tiny, F.lit(0))
-                for n in ("unit_bonus", "tail_bias", *[x[0] for x in FEATURES]):
-                    score = score + F.coalesce(s[n], F.lit(0))
-                low = F.greatest(m.start - CONTEXT_CHARS, F.lit(0))
-                return F.struct(v.alias("raw_value"), m.unit.alias("unit_raw"), s.unit_norm.alias("unit_norm"), m.start.alias("start"), m.end.alias("end"), F.substring(text, low + 1, m.end + CONTEXT_CHARS - low).alias("context"), score.alias("score"), detail.alias("score_detail"), interpretations(v).alias("km_interps"))
+                own = {"unit_bonus": named, "tiny_penalty": tiny, "ambig_sep": ambiguous, "close_to_gt": F.lit(None).cast("int")}
+                detail = F.struct(*[(own[n] if n in own else s[n]).alias(n) for n in BREAKDOWN])
+                return F.struct(v.alias("raw_value"), m.unit.alias("unit_raw"), s.unit_norm.alias("unit_norm"), m.start.alias("start"), m.end.alias("end"), F.substring(text, low + 1, m.end + CONTEXT_CHARS - low).alias("context"), (score + F.coalesce(tiny, F.lit(0))).alias("score"), detail.alias("score_detail"), interpretations(v).alias("km_interps"))
 
             return F.transform(s["values"], reading)
 
         return let(shared, of)
 
-    return dedup_candidates(F.flatten(F.transform(number_spans(text), one)))
+    # each once: a number's readings are distinct, and no two matches share a start
+    return F.flatten(F.transform(number_spans(text), one))
 
 
 def dedup_candidates(candidates: Column) -> Column:
-    """Each candidate once; readings of one number are distinct already, and no two matches share a span."""
+    """Each candidate once, of lists that may share some."""
     return F.array_distinct(candidates)
 
 
@@ -174,8 +185,7 @@ def boosted(candidates: Column, expected_km: Column) -> Column:
 def rank_candidates(candidates: Column) -> Column:
     """By score, then place, then value, all descending."""
     dealt = F.transform(candidates, lambda c, i: F.struct(c.score.alias("score"), c.start.alias("start"), c.raw_value.alias("value"), (-i).alias("i"), c.alias("c")))
-    order = F.sort_array(F.transform(dealt, lambda s: F.struct(s.score, s.start, s.value, s.i)), asc=False)
-    return F.transform(order, lambda k: F.element_at(candidates, (1 - k["i"]).cast("int")))
+    return F.transform(F.sort_array(dealt, asc=False), lambda s: s.c)  # i differs, so candidates themselves are never compared
 
 
 def pack_median(ranked: Column, most: int = 5) -> Column:
@@ -187,7 +197,7 @@ def pack_median(ranked: Column, most: int = 5) -> Column:
 def resolve_unit(top: Column, preference: Column, median: Column) -> Column:
     """Struct unit, km: the candidate's own unit, the user's, or that of the reading closest to the median (ties: km, mi, nmi)."""
     unit = F.coalesce(top.unit_norm, preference)
-    closest = F.array_min(F.array(*[F.struct(F.abs(top.km_interps[u] - median).alias("diff"), F.lit(i).alias("i"), F.lit(u).alias("unit"), top.km_interps[u].alias("km")) for i, u in enumerate(("km", "mi", "nmi"))]))
+    closest = let(median, lambda m: F.array_min(F.array(*[F.struct(F.abs(top.km_interps[u] - m).alias("diff"), F.lit(i).alias("i"), F.lit(u).alias("unit"), top.km_interps[u].alias("km")) for i, u in enumerate(("km", "mi", "nmi"))])))
     own = F.when(unit == "km", top.km_interps.km).when(unit == "mi", top.km_interps.mi).when(unit == "nmi", top.km_interps.nmi)
     return F.when(unit.isNotNull(), F.struct(unit.alias("unit"), own.alias("km"))).otherwise(let(closest, lambda c: F.struct(c.unit.alias("unit"), c.km.alias("km"))))
 

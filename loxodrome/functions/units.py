@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geodesy import KM_PER_MILE, KM_PER_NAUTICAL_MILE
+from .geodesy import KM_PER_MILE, KM_PER_NAUTICAL_MILE, let
 
 # Spellings of units, as users write them and as answers carry them.
 CONVERT_KM = ("km", "kilometer", "kilometers", "kilometre", "kilometres", "klick", "klicks", "click", "clicks", "k", "kms", "km.", "k.")
@@ -42,27 +44,38 @@ def to_km(value: Column, unit: Column) -> Column:
     return F.when(unit == "mi", value * KM_PER_MILE).when(unit == "nmi", value * KM_PER_NAUTICAL_MILE).otherwise(value)
 
 
+def _spelled(text: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct s, c: a spelling in lower case without the space around it, and without any space or mark in it."""
+    both = lambda s: let(F.struct(s.alias("s"), F.regexp_replace(s, COMPACT, "").alias("c")), body)
+    return let(F.lower(F.regexp_replace(text, STRIP, "")), both)
+
+
 def normalize_unit(token: Column) -> Column:
     """km, mi or nmi for a unit word of an answer, null for any other."""
-    s = F.lower(F.regexp_replace(token, STRIP, ""))
-    c = F.regexp_replace(s, COMPACT, "")
-    either = lambda words: s.isin(*words) | c.isin(*words)
-    return F.when(F.coalesce(token, F.lit("")) == "", None).when(either(ANSWER_KM), "km").when(either(ANSWER_MI) | F.contains(s, F.lit("statute")), "mi").when(either(ANSWER_NMI) | F.contains(s, F.lit("sea")), "nmi")
+
+    def named(t: Column) -> Column:
+        s, c = t.s, t.c
+        either = lambda words: s.isin(*words) | c.isin(*words)
+        return F.when(either(ANSWER_KM), "km").when(either(ANSWER_MI) | F.contains(s, F.lit("statute")), "mi").when(either(ANSWER_NMI) | F.contains(s, F.lit("sea")), "nmi")
+
+    return F.when(F.coalesce(token, F.lit("")) != "", _spelled(token, named))
 
 
 def normalize_user_unit(raw: Column) -> Column:
     """km, mi or nmi guessed from a user's spelling, null if there is none or it isn't known."""
-    s = F.lower(F.regexp_replace(raw, STRIP, ""))
-    c = F.regexp_replace(s, COMPACT, "")
-    has = lambda col, *words: contains_any(col, words)
-    return (
-        F.when(F.coalesce(raw, F.lit("")) == "", None)
-        .when(has(c, "seamile") | has(s, "sea mile"), "nmi")
-        .when(has(s, "naut") | has(c, "nmi") | (c == "nm"), "nmi")
-        .when(has(s, "statute") | has(c, "statutemile"), "mi")
-        .when(has(s, "mile") | s.rlike(r"(?U)\bmi\b") | c.isin("m", "sm"), "mi")
-        .when(has(c, "km") | has(s, "klick", "click") | (c == "k") | has(s, "meter", "metre"), "km")
-    )
+
+    def named(t: Column) -> Column:
+        s, c = t.s, t.c
+        has = lambda col, *words: contains_any(col, words)
+        return (
+            F.when(has(c, "seamile") | has(s, "sea mile"), "nmi")
+            .when(has(s, "naut") | has(c, "nmi") | (c == "nm"), "nmi")
+            .when(has(s, "statute") | has(c, "statutemile"), "mi")
+            .when(has(s, "mile") | s.rlike(r"(?U)\bmi\b") | c.isin("m", "sm"), "mi")
+            .when(has(c, "km") | has(s, "klick", "click") | (c == "k") | has(s, "meter", "metre"), "km")
+        )
+
+    return F.when(F.coalesce(raw, F.lit("")) != "", _spelled(raw, named))
 
 
 def unit_origin(raw: Column) -> Column:
@@ -73,6 +86,5 @@ def unit_origin(raw: Column) -> Column:
 
 def unit_preference(user: Column, dotted: bool = True) -> Column:
     """Unit that a prompt asks for, null if none; `dotted` also takes n.m. for nautical miles."""
-    u = F.lower(user)
     nautical = ("sea mile", "nmi", "nm", "nautical") + (("n.m.",) if dotted else ())
-    return F.when(contains_any(u, nautical), "nmi").when(contains_any(u, ("klick", "click")), "km").when(contains_any(u, (" mile", "(mi", "statute")), "mi").when(contains_any(u, (" km", "kilometer", "kilometre")), "km")
+    return let(F.lower(user), lambda u: F.when(contains_any(u, nautical), "nmi").when(contains_any(u, ("klick", "click")), "km").when(contains_any(u, (" mile", "(mi", "statute")), "mi").when(contains_any(u, (" km", "kilometer", "kilometre")), "km"))

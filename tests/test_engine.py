@@ -169,3 +169,20 @@ def test_the_engine_works_where_the_subpackage_cannot_be_imported():
     said = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, check=True)
     assert int(out.stdout.split()[0]) > 80
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _catalog(spark, name):
+    from loxodrome.plans import catalog
+
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", ["pack_median"])
+def test_candidates_are_extracted_once_by_many_tasks(spark, name):
+    df = _catalog(spark, name)
+    assert _plan(df).count("regexp_extract_all") == 1
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
