@@ -181,7 +181,7 @@ def _catalog(spark, name):
     return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["pack_median", "rank_candidates", "resolve_unit"])
+@pytest.mark.parametrize("name", ["pack_median", "rank_candidates", "resolve_unit", "top_candidate"])
 def test_candidates_are_extracted_once_by_many_tasks(spark, name):
     df = _catalog(spark, name)
     assert _plan(df).count("regexp_extract_all") == 1
