@@ -96,4 +96,4 @@ def fill(template: str, slots: Mapping[str, Column]) -> Column:
 
 def fill_any(templates: Sequence[str], slots: Mapping[str, Column], draws, slot: str) -> Column:
     """One of the templates, filled."""
-    return draws.choose(F.array(*[fill(t, slots) for t in templates]), slot)
+    return draws.one_of([fill(t, slots) for t in templates], slot)

@@ -27,11 +27,12 @@ def pick_variant(unit: Column, d: Draws, slot: str) -> Column:
 
 def user_prompt(a: Column, b: Column, d: Draws, weights: dict, bank: dict, slot: str = "user") -> Column:
     """Struct text, raw_unit, mode of a prompt without typos; raw_unit is null where the mode names none."""
-    mode = d.choose(MODES, f"{slot}:mode")
-    unit = F.lit(None).cast("string")
-    for m, w in weights.items():
-        unit = F.when(mode == m, d.weighted(dict(zip(("km", "mi", "nmi"), w, strict=True)), f"{slot}:unit:{m}")).otherwise(unit)
-    unit = F.when((mode == "short_q") & ~d.maybe(P_SHORT_UNIT, f"{slot}:named"), None).otherwise(unit)
+    def asked(mode: Column) -> Column:
+        unit = F.lit(None).cast("string")
+        for m, w in weights.items():
+            unit = F.when(mode == m, d.weighted(dict(zip(("km", "mi", "nmi"), w, strict=True)), f"{slot}:unit:{m}")).otherwise(unit)
+        unit = F.when((mode == "short_q") & ~d.maybe(P_SHORT_UNIT, f"{slot}:named"), None).otherwise(unit)
+        return F.struct(mode.alias("mode"), let(unit, lambda u: pick_variant(u, d, f"{slot}:spelling")).alias("raw"))
 
     # The wording of the modes without templates.
     def write(s: Column) -> Column:
@@ -47,7 +48,7 @@ def user_prompt(a: Column, b: Column, d: Draws, weights: dict, bank: dict, slot:
         )
         return F.struct(text.alias("text"), raw.alias("raw_unit"), s["mode"].alias("mode"))
 
-    return let(F.struct(mode.alias("mode"), pick_variant(unit, d, f"{slot}:spelling").alias("raw")), write)
+    return let(let(d.choose(MODES, f"{slot}:mode"), asked), write)
 
 
 def long_label(unit: Column, d: Draws, slot: str) -> Column:
@@ -63,17 +64,23 @@ def fixed(x: Column, places: int) -> Column:
 
 def intent_recap(unit: Column, origin: Column, raw: Column, a: tuple[Column, Column], b: tuple[Column, Column], d: Draws, bank: dict, slot: str = "intent") -> Column:
     """What was asked for, and a line with the coordinates."""
-    slots = {"op": d.choose(bank["intent_openers"], f"{slot}:op"), "unit_long": long_label(unit, d, f"{slot}:long"), "raw_unit": F.trim(F.coalesce(raw, F.lit("")))}
-    line = F.when(origin == "explicit", phrases.fill_any(bank["intent_explicit"], slots, d, f"{slot}:line")).when(origin == "ambiguous", phrases.fill_any(bank["intent_ambiguous"], slots, d, f"{slot}:line")).otherwise(phrases.fill_any(bank["intent_default"], slots, d, f"{slot}:line"))
     where = {"alat": fixed(a[0], 6), "alon": fixed(a[1], 6), "blat": fixed(b[0], 6), "blon": fixed(b[1], 6)}
+
+    def write(x: Column) -> Column:
+        slots = {"op": d.choose(bank["intent_openers"], f"{slot}:op"), "unit_long": long_label(x.unit, d, f"{slot}:long"), "raw_unit": F.trim(F.coalesce(x.raw, F.lit("")))}
+        line = lambda kind: phrases.fill_any(bank[f"intent_{kind}"], slots, d, f"{slot}:line")
+        return F.when(x.origin == "explicit", line("explicit")).when(x.origin == "ambiguous", line("ambiguous")).otherwise(line("default"))
+
+    line = let(F.struct(unit.alias("unit"), origin.alias("origin"), raw.alias("raw")), write)
     return F.concat(line, F.lit("\n- "), phrases.fill_any(bank["intent_coords"], where, d, f"{slot}:coords"))
 
 
+
 def narrate_distance(method: Column, km: Column, unit: Column, angle: Column, iterations: Column, brief: bool) -> Column:
     """The numbers behind a distance, briefly or with constants."""
-    c = units.convert_km(km, unit)
     places = 1 if brief else 3
-    result = F.concat(fixed(km, places), F.lit(" km = "), fixed(c["value"], places), F.lit(" "), c["unit"], F.lit("."))
+    converted = let(units.convert_km(km, unit), lambda c: F.concat(fixed(c["value"], places), F.lit(" "), c["unit"]))
+    result = F.concat(fixed(km, places), F.lit(" km = "), converted, F.lit("."))
     sphere = F.concat(F.lit(f"Sphere of {geodesy.EARTH_RADIUS_KM} km; angle "), fixed(angle, 4 if brief else 6), F.lit(" rad; distance "), result)
     ellipsoid = F.concat(F.lit("Ellipsoid WGS-84"), F.lit("") if brief else F.concat(F.lit(f" (a = {geodesy.WGS84_A} m, b = {geodesy.WGS84_B:.1f} m), settled in "), iterations.cast("string"), F.lit(" rounds")), F.lit("; distance "), result)
     return F.when(method == "vincenty", ellipsoid).otherwise(sphere)
@@ -96,14 +103,14 @@ def analysis_text(row: dict[str, Column], d: Draws, bank: dict) -> Column:
     small = F.concat(F.lit("- lon "), fixed(gut.dlon, 1), F.lit("°, lat "), fixed(gut.dlat, 1), F.lit("°; EW "), F.rint(gut.ew_km).cast("bigint").cast("string"), F.lit(" km, NS "), F.rint(gut.ns_km).cast("bigint").cast("string"), F.lit(" km"))
     large = F.concat(F.lit("- lon "), fixed(gut.dlon, 1), F.lit("°; central angle "), fixed(gut.angle, 2), F.lit(" rad"))
     missing = F.array_join(F.filter(F.array(F.when(row["dropped_a"], "A"), F.when(row["dropped_b"], "B")), lambda x: x.isNotNull()), " and ")
-    ball = units.convert_km(row["ballpark"].cast("double"), unit)
+    ball = let(units.convert_km(row["ballpark"].cast("double"), unit), lambda b: F.concat(F.rint(b["value"]).cast("bigint").cast("string"), F.lit(" "), b["unit"]))
     lines = F.array(
         d.choose(bank["analysis_openers"], "analysis:open"),
         intent_recap(unit, row["origin"], row["raw"], row["a"], row["b"], d, bank),
         F.when(missing != "", F.concat(F.lit("- no hemisphere letter for "), missing, F.lit(", so the sign decides."))),
         d.choose(bank["gut_openers"], "gut:open"),
         F.when(gut.small, small).otherwise(large),
-        F.concat(F.lit("- about "), row["ballpark"].cast("string"), F.lit(" km, or "), F.rint(ball["value"]).cast("bigint").cast("string"), F.lit(" "), ball["unit"]),
+        F.concat(F.lit("- about "), row["ballpark"].cast("string"), F.lit(" km, or "), ball),
         F.array_join(why_lines(gut, row["ballpark"], d, bank), "\n"),
         F.concat(d.choose(bank["method_transitions"], "method:to"), F.lit(" "), names),
         F.concat(F.lit("- "), planned),
@@ -119,12 +126,24 @@ def final_text(row: dict[str, Column], d: Draws, bank: dict) -> Column:
     unit, fmt = row["unit"], row["fmt"]
     rule = F.when(fmt == "DMS", "deg + min/60 + sec/3600, minus for S and W").when(fmt == "DMM", "deg + min/60, minus for S and W")
     names = F.when(row["method"] == "vincenty", d.choose(bank["vincenty_names"], "final:v")).otherwise(d.choose(bank["haversine_names"], "final:h"))
+
+    def how(c: Column) -> Column:
+        return F.when(c["unit"] == "mi", "km / 1.609344").when(c["unit"] == "nmi", "km / 1.852").otherwise("already km")
+
+    def compared(gap: Column) -> Column:
+        return F.when(gap.isNotNull(), phrases.fill_any(bank["compare"], {"approx_km": fixed(row["approx"], 0), "exact_km": fixed(row["km"], 1), "diff_km": fixed(gap.diff_km, 1), "diff_pct": fixed(gap.diff_pct, 1)}, d, "compare"))
+
+    def lines(c: Column) -> Column:
+        return _final_lines(row, d, bank, c, rule, names, how(c), let(geodesy.intuition_gap(row["km"], row["approx"]), compared))
+
+    text = let(units.convert_km(row["km"], unit), lambda c: F.array_join(F.array_compact(lines(c)), "\n"))
+    return noise.format_variation(text, d, phrases.FORMAT_NOISE["final"], "form:final")
+
+
+def _final_lines(row: dict[str, Column], d: Draws, bank: dict, c: Column, rule: Column, names: Column, how: Column, compared: Column) -> Column:
+    unit, fmt = row["unit"], row["fmt"]
     (alat, alon), (blat, blon) = row["a"], row["b"]
-    c = units.convert_km(row["km"], unit)
-    gap = geodesy.intuition_gap(row["km"], row["approx"])
-    how = F.when(c["unit"] == "mi", "km / 1.609344").when(c["unit"] == "nmi", "km / 1.852").otherwise("already km")
-    compared = phrases.fill_any(bank["compare"], {"approx_km": fixed(row["approx"], 0), "exact_km": fixed(row["km"], 1), "diff_km": fixed(gap.diff_km, 1), "diff_pct": fixed(gap.diff_pct, 1)}, d, "compare")
-    lines = F.array(
+    return F.array(
         d.choose(bank["final_intro"], "final:intro"),
         F.lit(""),
         d.choose(bank["step1"], "final:step1"),
@@ -137,9 +156,8 @@ def final_text(row: dict[str, Column], d: Draws, bank: dict) -> Column:
         F.lit(""),
         d.choose(bank["unit_heading"], "final:unit"),
         F.concat(F.lit("To "), long_label(c["unit"], d, "final:long"), F.lit(": "), how, F.lit(" = "), fixed(c["value"], 3), F.lit(" "), c["unit"]),
-        F.when(gap.isNotNull(), compared),
+        compared,
         F.lit(""),
         d.choose(bank["answer"], "final:answer"),
         F.concat(fixed(c["value"], 3), F.lit(" "), c["unit"]),
     )
-    return noise.format_variation(F.array_join(F.array_compact(lines), "\n"), d, phrases.FORMAT_NOISE["final"], "form:final")

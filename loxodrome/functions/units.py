@@ -30,14 +30,12 @@ def contains_any(text: Column, needles) -> Column:
 
 def canonical_unit(unit: Column) -> Column:
     """km, mi or nmi; km for what isn't known."""
-    u = F.lower(F.coalesce(unit, F.lit("")))
-    return F.when(u.isin(*CONVERT_KM), "km").when(u.isin(*CONVERT_NMI), "nmi").when(u.isin(*CONVERT_MI), "mi").otherwise("km")
+    return let(F.lower(F.coalesce(unit, F.lit(""))), lambda u: F.when(u.isin(*CONVERT_KM), "km").when(u.isin(*CONVERT_NMI), "nmi").when(u.isin(*CONVERT_MI), "mi").otherwise("km"))
 
 
 def convert_km(km: Column, unit: Column) -> Column:
     """Struct value, unit: a distance in the unit that a spelling names."""
-    c = canonical_unit(unit)
-    return F.struct(F.when(c == "mi", km / KM_PER_MILE).when(c == "nmi", km / KM_PER_NAUTICAL_MILE).otherwise(km).alias("value"), c.alias("unit"))
+    return let(canonical_unit(unit), lambda c: F.struct(F.when(c == "mi", km / KM_PER_MILE).when(c == "nmi", km / KM_PER_NAUTICAL_MILE).otherwise(km).alias("value"), c.alias("unit")))
 
 
 def to_km(value: Column, unit: Column) -> Column:

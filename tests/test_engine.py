@@ -186,3 +186,13 @@ def test_candidates_are_extracted_once_by_many_tasks(spark, name):
     df = _catalog(spark, name)
     assert _plan(df).count("regexp_extract_all") == 1
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_recaps_fit_compiled_code_and_fill_one_template(spark):
+    df = _catalog(spark, "intent_recap")
+    assert _plan(df).count("intent:long:km") == 5  # once for each template that names the unit
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert all("\n- " in r["text"] for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
