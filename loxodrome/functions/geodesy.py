@@ -16,7 +16,7 @@ WGS84_B = WGS84_A * (1 - WGS84_F)
 KM_PER_MILE = 1.609344
 KM_PER_NAUTICAL_MILE = 1.852
 
-MAX_ROUNDS, TOLERANCE = 200, 1e-12
+MAX_ROUNDS, SPELL, TOLERANCE = 200, 8, 1e-12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,7 +79,9 @@ def vincenty(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
             return let(first, second)
 
-        return let(F.aggregate(F.sequence(F.lit(1), F.lit(MAX_ROUNDS)), start, lambda s, _: F.when(s.done, s).otherwise(step(s))), finish)
+        # in spells, so that a state that has settled stands still for few of them instead of for each round
+        rounds = lambda s, n, once: F.aggregate(F.sequence(F.lit(1), F.lit(n)), s, lambda x, _: F.when(x.done, x).otherwise(once(x)))
+        return let(rounds(start, MAX_ROUNDS // SPELL, lambda s: rounds(s, SPELL, step)), finish)
 
     def finish(s: Column) -> Column:
         square = s.ca * ((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geodesy import let
+
 MESSAGE = "struct<role:string,content:string,thinking:string>"
 #: How much reasoning a prompt asks for, in words of our own; only the names of the levels and the two tags are fixed.
 HINTS = {
@@ -45,9 +47,17 @@ def render_naive(messages: Column) -> Column:
 
 def harmony_row(turns: Column) -> Column:
     """Struct developer, user, analysis, final, messages from turns (role, channel, content); the first of each counts, analysis may lack."""
-    first = lambda role, channel=None: F.get(F.filter(turns, lambda m: (m.role == role) & (F.lit(True) if channel is None else m.channel == channel)), F.lit(0)).content
-    developer, user, analysis, final = first("system"), first("user"), first("assistant", "analysis"), first("assistant", "final")
-    return F.struct(developer.alias("developer"), user.alias("user"), analysis.alias("analysis"), final.alias("final"), F.array(message("system", developer), message("user", user), message("assistant", final, analysis)).alias("messages"))
+
+    def found(t: Column) -> Column:
+        first = lambda role, channel=None: F.get(F.filter(t, lambda m: (m.role == role) & (F.lit(True) if channel is None else m.channel == channel)), F.lit(0)).content
+        own = {"developer": first("system"), "user": first("user"), "analysis": first("assistant", "analysis"), "final": first("assistant", "final")}
+        return F.struct(*[c.alias(n) for n, c in own.items()])
+
+    def row(r: Column) -> Column:
+        said = F.array(message("system", r.developer), message("user", r.user), message("assistant", r.final, r.analysis))
+        return F.struct(*[r[n].alias(n) for n in ("developer", "user", "analysis", "final")], said.alias("messages"))
+
+    return let(let(turns, found), row)
 
 
 def peek(messages: Column, most: int = 5, chars: int = 120) -> Column:

@@ -119,16 +119,20 @@ def _formed(text: Column, d: Draws, cfg: dict, slot: str) -> Column:
     bulleted = F.aggregate(
         F.split(text, "\n"),
         F.struct(F.lit("").alias("out"), F.lit(False).alias("run"), F.lit(True).alias("first")),
-        lambda s, line: F.struct(F.concat(s.out, F.when(s.first, "").when(s.run & line.rlike(bullet), " • ").otherwise("\n"), F.when(line.rlike(bullet), F.trim(F.regexp_replace(line, bullet, ""))).otherwise(line)).alias("out"), line.rlike(bullet).alias("run"), F.lit(False).alias("first")),
+        lambda s, line: let(line.rlike(bullet), lambda hit: F.struct(F.concat(s.out, F.when(s.first, "").when(s.run & hit, " • ").otherwise("\n"), F.when(hit, F.trim(F.regexp_replace(line, bullet, ""))).otherwise(line)).alias("out"), hit.alias("run"), F.lit(False).alias("first"))),
         lambda s: s.out,
     )
     compact = F.when(d.maybe(cfg["p_compact_bullets"], f"{slot}:bullets"), bulleted).otherwise(text)
-    roll, (low, high) = d.uniform(f"{slot}:roll"), cfg["collapse_some_fraction_range"]
+    all_of, some_of, (low, high) = cfg["p_collapse_all"], cfg["p_collapse_some"], cfg["collapse_some_fraction_range"]
+
+    def some(t: Column) -> Column:
+        def joined(x: Column) -> Column:
+            brk = lambda i: F.when(i == F.size(x.lines) - 1, "").when(d.uniform(F.concat_ws(":", F.lit(f"{slot}:line"), i.cast("string"))) < x.share, " ").otherwise("\n")
+            return F.array_join(F.transform(x.lines, lambda line, i: F.concat(line, brk(i))), "")
+
+        return F.trim(F.regexp_replace(let(F.struct(F.split(t, "\n").alias("lines"), d.between(f"{slot}:share", low, high).alias("share")), joined), " {2,}", " "))
 
     def vary(t: Column) -> Column:
-        share = d.between(f"{slot}:share", low, high)
-        lines = F.split(t, "\n")
-        some = F.array_join(F.transform(lines, lambda x, i: F.concat(x, F.when(i == F.size(lines) - 1, "").when(d.uniform(F.concat_ws(":", F.lit(f"{slot}:line"), i.cast("string"))) < share, " ").otherwise("\n"))), "")
-        return F.when(roll < cfg["p_collapse_all"], F.trim(F.regexp_replace(t, r"\s*\n\s*", " "))).when(roll < cfg["p_collapse_all"] + cfg["p_collapse_some"], F.trim(F.regexp_replace(some, " {2,}", " "))).otherwise(t)
+        return let(d.uniform(f"{slot}:roll"), lambda roll: F.when(roll < all_of, F.trim(F.regexp_replace(t, r"\s*\n\s*", " "))).when(roll < all_of + some_of, some(t)).otherwise(t))
 
     return let(compact, vary)

@@ -196,3 +196,14 @@ def test_recaps_fit_compiled_code_and_fill_one_template(spark):
         assert all("\n- " in r["text"] for r in df.collect())
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+@pytest.mark.parametrize("name", ["gen_train_set"])
+def test_turns_are_written_once(spark, name):
+    assert _plan(_catalog(spark, name)).count("caps:system:gate") == 1
+
+
+def test_vincenty_settles_within_its_rounds_or_not_at_all(spark):
+    at = spark.range(400).selectExpr("0.1D + (id % 20) * 0.1 AS a", "178.5D + floor(id / 20) * 0.07 AS b")
+    got = at.select(geodesy.vincenty(F.lit(0.0), F.lit(0.0), F.col("a"), F.col("b")).alias("v")).select("v.*").collect()
+    assert {r["iterations"] for r in got if not r["converged"]} == {geodesy.MAX_ROUNDS} and any(8 < r["iterations"] < 200 for r in got)
