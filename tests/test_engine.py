@@ -198,7 +198,7 @@ def test_recaps_fit_compiled_code_and_fill_one_template(spark):
         spark.conf.unset("spark.sql.codegen.fallback")
 
 
-@pytest.mark.parametrize("name", ["gen_train_set"])
+@pytest.mark.parametrize("name", ["gen_train_set", "peek_messages"])
 def test_turns_are_written_once(spark, name):
     assert _plan(_catalog(spark, name)).count("caps:system:gate") == 1
 
