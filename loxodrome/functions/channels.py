@@ -28,22 +28,26 @@ def from_json_output(raw: Column) -> Column:
 def extract_tag(text: Column, tag: str) -> Column:
     """First <tag>...</tag>, whatever its case, trimmed; null if there is none."""
     pattern = rf"(?isuU)<\s*{tag}\s*>(.*?)<\s*/\s*{tag}\s*>"
-    return F.when(text.rlike(pattern), stripped(F.regexp_extract(text, pattern, 1)))
+    return stripped(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(0)))
 
 
 def split_channels_tags(raw: Column) -> Column:
     """Struct final, analysis: by tags, else by the words analysis and final, else all of it is final."""
 
     def cut(t: Column) -> Column:
-        parts = F.split(t, ANALYSIS_LABEL, 2)
-        rest = stripped(F.get(parts, F.lit(1)))
-        both = F.split(rest, FINAL_LABEL, 2)
-        tagged = extract_tag(t, "final")
-        analysis = extract_tag(t, "analysis")
-        has_final = F.coalesce(tagged, F.lit("")) != ""
-        labelled = F.size(parts) > 1
-        final = F.when(has_final, tagged).when(~labelled, stripped(t)).when(F.size(both) > 1, stripped(F.get(both, F.lit(1)))).otherwise(rest)
-        return F.struct(final.alias("final"), F.when(~has_final & labelled & (F.size(both) > 1), stripped(F.get(both, F.lit(0)))).otherwise(analysis).alias("analysis"))
+        def labelled(parts: Column) -> Column:
+            whole = F.struct(stripped(t).alias("final"), extract_tag(t, "analysis").alias("analysis"))
+            rest = let(stripped(F.get(parts, F.lit(1))), lambda r: let(F.split(r, FINAL_LABEL, 2), lambda both: parted(r, both)))
+            return F.when(F.size(parts) > 1, rest).otherwise(whole)
+
+        def parted(rest: Column, both: Column) -> Column:
+            two = F.struct(stripped(F.get(both, F.lit(1))).alias("final"), stripped(F.get(both, F.lit(0))).alias("analysis"))
+            return F.when(F.size(both) > 1, two).otherwise(F.struct(rest.alias("final"), extract_tag(t, "analysis").alias("analysis")))
+
+        def tagged(final: Column) -> Column:
+            return F.when(F.coalesce(final, F.lit("")) != "", F.struct(final.alias("final"), extract_tag(t, "analysis").alias("analysis"))).otherwise(let(F.split(t, ANALYSIS_LABEL, 2), labelled))
+
+        return let(extract_tag(t, "final"), tagged)
 
     return let(raw, cut)
 

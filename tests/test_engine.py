@@ -207,3 +207,16 @@ def test_vincenty_settles_within_its_rounds_or_not_at_all(spark):
     at = spark.range(400).selectExpr("0.1D + (id % 20) * 0.1 AS a", "178.5D + floor(id / 20) * 0.07 AS b")
     got = at.select(geodesy.vincenty(F.lit(0.0), F.lit(0.0), F.col("a"), F.col("b")).alias("v")).select("v.*").collect()
     assert {r["iterations"] for r in got if not r["converged"]} == {geodesy.MAX_ROUNDS} and any(8 < r["iterations"] < 200 for r in got)
+
+
+@pytest.mark.parametrize("name", ["bucket_points"])
+def test_answers_are_split_once_by_many_tasks(spark, name):
+    plan = _plan(_catalog(spark, name))
+    assert plan.count(r"<\s*final\s*>") == 1 and plan.count(r"analysis\b") == 1
+    assert plan.count("RepartitionByExpression") == 2  # the same for both sides of the join
+
+
+@pytest.mark.parametrize(("text", "final", "analysis"), [("<final></final> analysis: a final: 3 km", "3 km", "a"), ("<analysis>x</analysis>analysis y", ">x</analysis>analysis y", "x"), ("<final> 1 </final><final>2</final>", "1", None), ("", "", None), (None, None, None)])
+def test_odd_channels(spark, text, final, analysis):
+    got = one(spark, channels.split_channels_tags(F.lit(text).cast("string")))
+    assert (got["final"], got["analysis"]) == (final, analysis)
