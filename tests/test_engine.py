@@ -209,7 +209,7 @@ def test_vincenty_settles_within_its_rounds_or_not_at_all(spark):
     assert {r["iterations"] for r in got if not r["converged"]} == {geodesy.MAX_ROUNDS} and any(8 < r["iterations"] < 200 for r in got)
 
 
-@pytest.mark.parametrize("name", ["bucket_points", "summary", "bucket_counts", "choose_candidate", "feature_scores", "decision_trace", "score_join"])
+@pytest.mark.parametrize("name", ["bucket_points", "summary", "bucket_counts", "choose_candidate", "feature_scores", "decision_trace", "score_join", "bucket_rates"])
 def test_answers_are_split_once_by_many_tasks(spark, name):
     plan = _plan(_catalog(spark, name))
     assert plan.count(r"<\s*final\s*>") == 1 and plan.count(r"analysis\b") == 1
